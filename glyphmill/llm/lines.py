@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words as W
-from glyphmill.llm.session import checkpointed, semi_by_size
+from glyphmill.llm.session import Scratch, checkpointed, release, semi_by_size
 
 BUCKETS = 1 << 16
 #: Lines with fewer distinct words carry no evidence and are left alone.
@@ -33,7 +33,7 @@ FIRST = 8
 #: Rows of document ids with lists of line numbers that may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Sets at least this large have a second bitmap of 64 bits.
-WIDE = 90
+WIDE = 140
 
 
 def need(percent: int, n, m):
@@ -153,7 +153,7 @@ def _candidates(table: pa.Table, percent: int, most: int) -> pa.RecordBatch:
         x, y = x[fit], y[fit]
         first = (g.doc[x] < g.doc[y]) | ((g.doc[x] == g.doc[y]) & (g.line[x] < g.line[y]))
         x, y = np.where(first, x, y), np.where(first, y, x)
-        fit = g.target[y]
+        fit = g.target[y] & ((g.doc[x] != g.doc[y]) | (g.line[x] != g.line[y]))  # repeated rows are no pair
         x, y = x[fit], y[fit]
         if most:
             order = np.argsort(y, kind="stable")  # a target occurs twice at most in a step
@@ -243,21 +243,28 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     - Lines of fewer than MIN_WORDS distinct words never match; null and empty texts have no lines that do.
     - Equal lines are one class (the first stays) before any pair is made, however many there are.
-    - Rows that share a doc_id share line numbers: a number that goes is gone from each of them.
+    - Rows that share a doc_id share line numbers: a number that goes is gone from each of them, and equal rows keep
+      what one of them would.
     - Rows with a null doc_id take no part.  An empty table gives no rows.
     """
     if not 80 <= percent <= 100:
         raise ValueError("the similarity is 80 % or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rare = rarity(docs)
-    lines = docs.mapInArrow(_line_rows(rare, percent), _LINE_ROWS)
-    first = lambda *names: [F.first(x).alias(x) for x in names]
-    classes = checkpointed(lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("key"), F.count("*").alias("copies"), *first("n", "bits", "more", "prefix")))
-    repeated = docs_lines_of(classes, docs, rare, percent)
-    of = classes.select(F.posexplode("prefix").alias("pos", "token"), F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), "bits", "more", "n")
+    lines = scratch.table(docs.mapInArrow(_line_rows(rare, percent), _LINE_ROWS), "lines")
+    key = F.struct("doc_id", "line_no")
+    classes = lines.groupBy("d1", "d2").agg(F.min(key).alias("key"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # Lines that repeat their class's first line; with repeated rows also that line itself, once.
+    same = semi_by_size(lines.select("d1", "d2", "doc_id", "line_no"), checkpointed(classes), ["d1", "d2"], "inner", BROADCAST_ROWS)
+    repeated = checkpointed(same.where(key != F.col("key")).select("doc_id", "line_no").distinct())
+    firsts = semi_by_size(lines, repeated, ["doc_id", "line_no"], "left_anti", BROADCAST_ROWS)
+    of = firsts.select(F.posexplode("prefix").alias("pos", "token"), "doc_id", "line_no", "bits", "more", "n")
     postings = of.select("token", "doc_id", "line_no", "bits", "more", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     hot = checkpointed(postings.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1"))
+    release(spark)
     first_pairs = checkpointed(_candidate_pairs(postings.withColumn("target", F.lit(True)), hot, percent, FIRST))
+    release(spark)
     met = first_pairs.where("a_doc is not null")
     near = checkpointed(_verify(met, docs, rare, percent))
     # Lines that met FIRST candidates in some group, none of which held: now all candidates of these.
@@ -267,15 +274,10 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
         tokens = flagged.where("target").select("token").distinct()
         rest = _candidate_pairs(flagged.join(tokens, "token", "left_semi").select("token", "doc_id", "line_no", "bits", "more", "at", "target"), hot, percent, 0)
         near = near.union(_verify(checkpointed(rest.join(met, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti")), docs, rare, percent))
-    # The first lines of classes that match an earlier class, and all other lines of every class.
-    return near.union(repeated).distinct()
-
-
-def docs_lines_of(classes: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:
-    """Lines of classes with copies, apart from each class's first line."""
-    several = classes.where("copies > 1").select("d1", "d2", "key")
-    lines = docs.mapInArrow(_line_rows(rare, percent), _LINE_ROWS).select("d1", "d2", "doc_id", "line_no")
-    return lines.join(several, ["d1", "d2"]).where("struct(doc_id, line_no) <> key").select("doc_id", "line_no")
+    gone = checkpointed(near.union(repeated).distinct())
+    scratch.drop()
+    release(spark)
+    return gone
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +31,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def semi_by_size(left: DataFrame, right: DataFrame, on: str, how: str, most_rows: int) -> DataFrame:
+class Scratch:
+    """Tables written to a folder of their own in the shared folder, and deleted when they are no longer needed.
+
+    Unlike a checkpoint a table is compressed and read by column.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def semi_by_size(left: DataFrame, right: DataFrame, on: str | list[str], how: str, most_rows: int) -> DataFrame:
     """A join that broadcasts ``right`` only if it has at most ``most_rows`` rows, and else shuffles both sides.
 
     ``right`` has to be checkpointed (it is counted first) and its rows have to be narrow.

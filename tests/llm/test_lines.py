@@ -45,9 +45,9 @@ def test_against_brute_force(spark, monkeypatch, percent, tile, first):
 
 def test_texts_keep_the_other_lines(spark):
     a, b = "one two three four five six", "uno dos tres cuatro cinco seis"
-    rows = [(2, f"{a}\nx\n{b}\n", 7), (1, f"{a}\r\nx", 8), (3, None, 9), (4, b, 1), (4, b, 1)]
+    rows = [(2, f"{a}\nx\n{b}\n", 7), (1, f"{a}\r\nx", 8), (3, None, 9), (4, b, 1), (4, b, 1), (9, "c d e f g h", 1), (9, "c d e f g h", 1)]
     out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string, n_lines int"))
     got = sorted((r.doc_id, r.text, r.n_lines, r.removed_lines) for r in out.collect() if r.text is not None)
-    assert got == [(1, f"{a}\r\nx", 2, []), (2, f"x\n{b}\n", 4, [0]), (4, "", 1, [0]), (4, "", 1, [0])]
+    assert got == [(1, f"{a}\r\nx", 2, []), (2, f"x\n{b}\n", 4, [0]), (4, "", 1, [0]), (4, "", 1, [0]), (9, "c d e f g h", 1, []), (9, "c d e f g h", 1, [])]
     assert [(r.text, r.n_lines) for r in out.collect() if r.doc_id == 3] == [(None, 0)]
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
