@@ -28,6 +28,8 @@ BUCKETS = 1 << 16
 MIN_WORDS = 5
 #: Members of a word's group that are compared in one piece; larger groups are cut into pairs of tiles.
 TILE = 2048
+#: One of so many classes of equal lines is counted to find the groups that need tiles.
+TILE_SAMPLE = 64
 #: Candidates that a line meets in one group at first; where none of these is confirmed, all others follow.
 FIRST = 8
 #: Rows of document ids with lists of line numbers that may be broadcast.
@@ -258,11 +260,17 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Lines that repeat their class's first line; with repeated rows also that line itself, once.
     same = semi_by_size(lines.select("d1", "d2", "doc_id", "line_no"), checkpointed(classes), ["d1", "d2"], "inner", BROADCAST_ROWS)
     repeated = checkpointed(same.where(key != F.col("key")).select("doc_id", "line_no").distinct())
-    firsts = semi_by_size(lines, repeated, ["doc_id", "line_no"], "left_anti", BROADCAST_ROWS)
-    of = firsts.select(F.posexplode("prefix").alias("pos", "token"), "doc_id", "line_no", "bits", "more", "n")
-    postings = of.select("token", "doc_id", "line_no", "bits", "more", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
-    hot = checkpointed(postings.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1"))
     release(spark)
+    first = lambda *names: [F.first(x).alias(x) for x in names]
+
+    def tokens_of(some: DataFrame) -> DataFrame:
+        kept = some.groupBy("d1", "d2").agg(F.min(key).alias("key"), *first("n", "bits", "more", "prefix"))
+        return kept.select(F.posexplode("prefix").alias("pos", "token"), F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), "bits", "more", "n")
+
+    postings = tokens_of(lines).select("token", "doc_id", "line_no", "bits", "more", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+    # How many tiles a word's group is cut into decides nothing but the layout, so it is read off a sample of classes.
+    sample = tokens_of(lines.where(F.pmod("d1", F.lit(TILE_SAMPLE)) == 0))
+    hot = checkpointed(sample.groupBy("token").agg(F.ceil(F.count("*") * TILE_SAMPLE / TILE).cast("int").alias("tiles")).where("tiles > 1"))
     first_pairs = checkpointed(_candidate_pairs(postings.withColumn("target", F.lit(True)), hot, percent, FIRST))
     release(spark)
     met = first_pairs.where("a_doc is not null")

@@ -37,6 +37,7 @@ def fixture_rows():
 def test_against_brute_force(spark, monkeypatch, percent, tile, first):
     monkeypatch.setattr(lines, "TILE", tile)
     monkeypatch.setattr(lines, "FIRST", first)
+    monkeypatch.setattr(lines, "TILE_SAMPLE", 1 if tile < 100 else 64)
     rows = fixture_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, lines.removed_lines(docs, percent).collect()))
