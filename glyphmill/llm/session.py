@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,9 +52,14 @@ class Scratch:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects its garbage.
+
+    What the first collection finds is let go by another thread; the second then finds what that held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def semi_by_size(left: DataFrame, right: DataFrame, on: str | list[str], how: str, most_rows: int) -> DataFrame:
