@@ -34,6 +34,8 @@ TILE_SAMPLE = 64
 FIRST = 8
 #: Rows of document ids with lists of line numbers that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Line numbers with their document ids (about 60 bytes each) that may be broadcast.
+BROADCAST_LINES = 1_000_000
 #: Sets at least this large have a second bitmap of 64 bits.
 WIDE = 140
 
@@ -69,7 +71,10 @@ class LineSets:
         ends = np.flatnonzero(chunk.text == 10)
         line = np.searchsorted(ends, found.starts)
         key = (rare[(found.hashes >> np.uint64(48)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (found.hashes >> np.uint64(8))
-        order = np.lexsort((key, line))
+        # One sort by line and the first bits of the key; the rare chunk where these don't tell keys apart is sorted in full.
+        order = np.argsort((line.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20))) if len(ends) < 1 << 20 else np.lexsort((key, line))
+        if not ((key[order][1:] >= key[order][:-1]) | (line[order][1:] != line[order][:-1])).all():
+            order = np.lexsort((key, line))
         line, key = line[order], key[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
@@ -122,13 +127,14 @@ _PAIRS = "a_doc long, a_line int, b_doc long, b_line int"
 
 
 class _Group:
-    """Columns of rows sorted by token, tiles and n; whole groups only."""
+    """Columns of rows sorted by token, tiles and n; whole groups only.  Without tiles, or targets, all is one tile, or target."""
 
     def __init__(self, table: pa.Table):
-        self.token, self.i, self.j, self.tile, self.doc, self.line, self.bits, self.more, at = (table.column(k).to_numpy() for k in range(9))
+        column = lambda name, default: table.column(name).to_numpy() if name in table.column_names else np.full(len(table), default)
+        self.token, self.doc, self.line, self.bits, self.more, at = (table.column(x).to_numpy() for x in ("token", "doc_id", "line_no", "bits", "more", "at"))
+        self.i, self.j, self.tile, self.target = column("i", 0), column("j", 0), column("tile", 0), column("target", True)
         self.bits, self.more = self.bits.view(np.uint64), self.more.view(np.uint64)
         self.n, self.pos = at >> 32, at & 0xFFFFFFFF
-        self.target = table.column(9).to_numpy()
 
 
 def _candidates(table: pa.Table, percent: int, most: int) -> pa.RecordBatch:
@@ -181,9 +187,10 @@ def _join_groups(percent: int, most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
+            names = [x for x in ("token", "i", "j") if x in batch.schema.names]
+            keys = [batch.column(x).to_numpy() for x in names]
             changed = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
-            same = kept and all(kept[-1].column(k)[-1] == batch.column(k)[0] for k in range(3))
+            same = kept and all(kept[-1].column(x)[-1] == batch.column(x)[0] for x in names)
             cut = int(changed[-1]) + 1 if len(changed) else 0
             if cut or (kept and not same):
                 yield _candidates(pa.Table.from_batches([*kept, batch.slice(0, cut)]) if cut else pa.Table.from_batches(kept), percent, most)
@@ -197,10 +204,12 @@ def _join_groups(percent: int, most: int):
 
 def _candidate_pairs(postings: DataFrame, hot: DataFrame, percent: int, most: int) -> DataFrame:
     """``postings(token, doc_id, line_no, bits, more, at, target)`` dealt by token, and by pairs of tiles where hot."""
+    if not hot.limit(1).count():
+        return postings.repartition("token").sortWithinPartitions("token", "at").mapInArrow(_join_groups(percent, most), _PAIRS).distinct()
     joined = semi_by_size(postings, hot, "token", "left", BROADCAST_ROWS).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     placed = joined.withColumn("tile", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    dealt = dealt.select("token", "i", "j", "tile", "doc_id", "line_no", "bits", "more", "at", "target")
+    dealt = dealt.drop("tiles", "other")
     return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "at").mapInArrow(_join_groups(percent, most), _PAIRS).distinct()
 
 
@@ -208,16 +217,21 @@ def _wanted_sets(rare: np.ndarray):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in W.chunks(batch.column(1)):
+                ends = np.flatnonzero(chunk.text == 10)
                 n = len(chunk.bounds) - 1
                 wanted = batch.column(2).slice(chunk.first, n)
-                docs = np.repeat(np.arange(n), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
-                lines = wanted.flatten().to_numpy(zero_copy_only=False)
-                s = LineSets(chunk, rare)
-                width = int(max(s.line_no.max(initial=0), lines.max(initial=0))) + 1
-                found = np.flatnonzero(np.isin(s.doc * width + s.line_no, docs * width + lines))
-                sets = [s.keys[s.starts[k] : s.starts[k] + s.n[k]].tobytes() for k in found]
-                ids = batch.column(0).slice(chunk.first).take(pa.array(s.doc[found]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(s.line_no[found].astype(np.int32)), pa.array(sets, pa.binary())], ["doc_id", "line_no", "members"])
+                doc = np.repeat(np.arange(n), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+                number = wanted.flatten().to_numpy(zero_copy_only=False)
+                first = np.searchsorted(ends, chunk.bounds)
+                there = first[doc] + number < first[doc + 1]  # rows that share a doc_id may have fewer lines
+                doc, number = doc[there], number[there]
+                line = first[doc] + number
+                begins, stops = np.append(0, ends[:-1] + 1)[line], ends[line] + 1
+                text = np.frombuffer(b"".join(chunk.text[a:b].tobytes() for a, b in zip(begins, stops)), dtype=np.uint8)
+                s = LineSets(W.Chunk(0, text, np.append(0, np.cumsum(stops - begins))), rare)
+                sets = [s.keys[a : a + k].tobytes() for a, k in zip(s.starts.tolist(), s.n.tolist())]
+                ids = batch.column(0).slice(chunk.first).take(pa.array(doc[s.doc]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number[s.doc], pa.int32()), pa.array(sets, pa.binary())], ["doc_id", "line_no", "members"])
 
     return of
 
@@ -263,18 +277,29 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     release(spark)
     first = lambda *names: [F.first(x).alias(x) for x in names]
 
+    few = repeated.count() <= BROADCAST_LINES
+
     def tokens_of(some: DataFrame) -> DataFrame:
-        kept = some.groupBy("d1", "d2").agg(F.min(key).alias("key"), *first("n", "bits", "more", "prefix"))
+        """Prefixes of one line of each class: without the known others if these are few, else by aggregation."""
+        if few:
+            kept = some.join(F.broadcast(repeated), ["doc_id", "line_no"], "left_anti").withColumn("key", key)
+        else:
+            kept = some.groupBy("d1", "d2").agg(F.min(key).alias("key"), *first("n", "bits", "more", "prefix"))
         return kept.select(F.posexplode("prefix").alias("pos", "token"), F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), "bits", "more", "n")
 
     postings = tokens_of(lines).select("token", "doc_id", "line_no", "bits", "more", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     # How many tiles a word's group is cut into decides nothing but the layout, so it is read off a sample of classes.
     sample = tokens_of(lines.where(F.pmod("d1", F.lit(TILE_SAMPLE)) == 0))
     hot = checkpointed(sample.groupBy("token").agg(F.ceil(F.count("*") * TILE_SAMPLE / TILE).cast("int").alias("tiles")).where("tiles > 1"))
-    first_pairs = checkpointed(_candidate_pairs(postings.withColumn("target", F.lit(True)), hot, percent, FIRST))
+    first_pairs = checkpointed(_candidate_pairs(postings, hot, percent, FIRST))
     release(spark)
     met = first_pairs.where("a_doc is not null")
-    near = checkpointed(_verify(met, docs, rare, percent))
+    # One match is enough for a line: at first its earliest candidate, then all others of those that are left.
+    best = checkpointed(met.groupBy("b_doc", "b_line").agg(F.min(F.struct("a_doc", "a_line")).alias("a")).select("a.*", "b_doc", "b_line"))
+    near = checkpointed(_verify(best, docs, rare, percent))
+    left = checkpointed(met.join(near.toDF("b_doc", "b_line"), ["b_doc", "b_line"], "left_anti").join(best, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti"))
+    if left.limit(1).count():
+        near = checkpointed(near.union(_verify(left, docs, rare, percent)))
     # Lines that met FIRST candidates in some group, none of which held: now all candidates of these.
     open_ = checkpointed(first_pairs.where("a_doc is null").select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct().join(near, ["doc_id", "line_no"], "left_anti"))
     if open_.limit(1).count():
@@ -292,7 +317,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -
     """The later lines of those pairs that hold on the full sets."""
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct()
     wanted = checkpointed(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))
-    sets = checkpointed(semi_by_size(docs, wanted, "doc_id", "inner", BROADCAST_ROWS).select("doc_id", "text", "wanted").mapInArrow(_wanted_sets(rare), "doc_id long, line_no int, members binary").distinct())
+    taken = semi_by_size(docs, wanted, "doc_id", "inner", BROADCAST_ROWS).select("doc_id", "text", "wanted")
+    sets = checkpointed(taken.mapInArrow(_wanted_sets(rare), "doc_id long, line_no int, members binary").distinct())
     side = lambda k, name: sets.select(F.col("doc_id").alias(f"{k}_doc"), F.col("line_no").alias(f"{k}_line"), F.col("members").alias(name))
     full = pairs.join(side("a", "x"), ["a_doc", "a_line"]).join(side("b", "y"), ["b_doc", "b_line"]).select("b_doc", "b_line", "x", "y")
     return full.mapInArrow(_verified(percent), "doc_id long, line_no int").distinct()

@@ -56,10 +56,10 @@ def release(spark: SparkSession) -> None:
 
     What the first collection finds is let go by another thread; the second then finds what that held.
     """
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.4)
 
 
 def semi_by_size(left: DataFrame, right: DataFrame, on: str | list[str], how: str, most_rows: int) -> DataFrame:
