@@ -31,7 +31,7 @@ TILE = 2048
 #: One of so many classes of equal lines is counted to find the groups that need tiles.
 TILE_SAMPLE = 64
 #: Candidates that a line meets in one group at first; where none of these is confirmed, all others follow.
-FIRST = 8
+FIRST = 32
 #: Rows of document ids with lists of line numbers that may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Line numbers with their document ids (about 60 bytes each) that may be broadcast.
@@ -303,9 +303,11 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Lines that met FIRST candidates in some group, none of which held: now all candidates of these.
     open_ = checkpointed(first_pairs.where("a_doc is null").select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct().join(near, ["doc_id", "line_no"], "left_anti"))
     if open_.limit(1).count():
-        flagged = semi_by_size(postings, open_.withColumn("target", F.lit(True)), ["doc_id", "line_no"], "left", BROADCAST_ROWS).withColumn("target", F.coalesce("target", F.lit(False)))
-        tokens = flagged.where("target").select("token").distinct()
-        rest = _candidate_pairs(flagged.join(tokens, "token", "left_semi").select("token", "doc_id", "line_no", "bits", "more", "at", "target"), hot, percent, 0)
+        words_of = postings.join(F.broadcast(open_) if open_.count() <= BROADCAST_LINES else open_, ["doc_id", "line_no"], "left_semi")
+        wanted = checkpointed(words_of.select("token").distinct())
+        flagged = semi_by_size(postings, wanted, "token", "left_semi", BROADCAST_LINES)
+        flagged = semi_by_size(flagged, open_.withColumn("target", F.lit(True)), ["doc_id", "line_no"], "left", BROADCAST_LINES).withColumn("target", F.coalesce("target", F.lit(False)))
+        rest = _candidate_pairs(flagged.select("token", "doc_id", "line_no", "bits", "more", "at", "target"), hot, percent, 0)
         near = near.union(_verify(checkpointed(rest.join(met, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti")), docs, rare, percent))
     gone = checkpointed(near.union(repeated).distinct())
     scratch.drop()
