@@ -36,8 +36,8 @@ FIRST = 32
 BROADCAST_ROWS = 200_000
 #: Line numbers with their document ids (about 60 bytes each) that may be broadcast.
 BROADCAST_LINES = 1_000_000
-#: Sets at least this large have a second bitmap of 64 bits.
-WIDE = 140
+#: Bits of the parity bitmaps that pairs are held against before their sets are fetched.
+WIDE = 512
 
 
 def need(percent: int, n, m):
@@ -101,13 +101,7 @@ def _line_rows(rare: np.ndarray, percent: int):
             for chunk in W.chunks(batch.column(1)):
                 s = LineSets(chunk, rare)
                 own = W.mix(s.keys)
-                bit = np.uint64(1) << (own >> np.uint64(58))
-                wide = np.uint64(1) << ((own >> np.uint64(52)) & np.uint64(63))
-                # Wide sets spread their words over both bitmaps; others have all in the first.
-                second = (own >> np.uint64(51)) & np.uint64(1) == 1
-                is_wide = np.repeat(s.n >= WIDE, s.n)
-                bits = s.xors(np.where(is_wide & second, np.uint64(0), bit))
-                more = s.xors(np.where(is_wide & second, wide, np.uint64(0)))
+                bits = s.xors(np.uint64(1) << (own >> np.uint64(58)))
                 prefix = np.where(s.n >= MIN_WORDS, s.n - (percent * s.n + 99) // 100 + 1, 0)
                 place = np.arange(len(s.keys)) - np.repeat(s.starts, s.n)
                 tokens = s.keys[place < np.repeat(prefix, s.n)]
@@ -115,14 +109,14 @@ def _line_rows(rare: np.ndarray, percent: int):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(prefix[used])), pa.int32()), pa.array(tokens.view(np.int64)))
                 ids = batch.column(0).slice(chunk.first).take(pa.array(s.doc[used]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(s.line_no[used].astype(np.int32)), pa.array(s.sums(own)[used].view(np.int64)), pa.array(s.sums(W.mix(own))[used].view(np.int64)), pa.array(s.n[used].astype(np.int32)), pa.array(bits[used].view(np.int64)), pa.array(more[used].view(np.int64)), lists],
-                    ["doc_id", "line_no", "d1", "d2", "n", "bits", "more", "prefix"],
+                    [ids, pa.array(s.line_no[used].astype(np.int32)), pa.array(s.sums(own)[used].view(np.int64)), pa.array(s.sums(W.mix(own))[used].view(np.int64)), pa.array(s.n[used].astype(np.int32)), pa.array(bits[used].view(np.int64)), lists],
+                    ["doc_id", "line_no", "d1", "d2", "n", "bits", "prefix"],
                 )
 
     return of
 
 
-_LINE_ROWS = "doc_id long, line_no int, d1 long, d2 long, n int, bits long, more long, prefix array<long>"
+_LINE_ROWS = "doc_id long, line_no int, d1 long, d2 long, n int, bits long, prefix array<long>"
 _PAIRS = "a_doc long, a_line int, b_doc long, b_line int"
 
 
@@ -131,9 +125,9 @@ class _Group:
 
     def __init__(self, table: pa.Table):
         column = lambda name, default: table.column(name).to_numpy() if name in table.column_names else np.full(len(table), default)
-        self.token, self.doc, self.line, self.bits, self.more, at = (table.column(x).to_numpy() for x in ("token", "doc_id", "line_no", "bits", "more", "at"))
+        self.token, self.doc, self.line, self.bits, at = (table.column(x).to_numpy() for x in ("token", "doc_id", "line_no", "bits", "at"))
         self.i, self.j, self.tile, self.target = column("i", 0), column("j", 0), column("tile", 0), column("target", True)
-        self.bits, self.more = self.bits.view(np.uint64), self.more.view(np.uint64)
+        self.bits = self.bits.view(np.uint64)
         self.n, self.pos = at >> 32, at & 0xFFFFFFFF
 
 
@@ -155,9 +149,7 @@ def _candidates(table: pa.Table, percent: int, most: int) -> pa.RecordBatch:
         least = need(percent, g.n[x], g.n[y])
         fit = (np.minimum(g.n[x] - g.pos[x], g.n[y] - g.pos[y]) >= least) & ((g.i[x] == g.j[x]) | (g.tile[x] != g.tile[y]))
         x, y, least = x[fit], y[fit], least[fit]
-        apart = np.bitwise_count(g.bits[x] ^ g.bits[y]).astype(np.int64) + np.bitwise_count(g.more[x] ^ g.more[y])
-        # Bitmaps of a wide and a narrow set are laid out differently and say nothing.
-        fit = (apart <= g.n[x] + g.n[y] - 2 * least) | ((g.n[x] < WIDE) != (g.n[y] < WIDE))
+        fit = np.bitwise_count(g.bits[x] ^ g.bits[y]) <= g.n[x] + g.n[y] - 2 * least
         x, y = x[fit], y[fit]
         first = (g.doc[x] < g.doc[y]) | ((g.doc[x] == g.doc[y]) & (g.line[x] < g.line[y]))
         x, y = np.where(first, x, y), np.where(first, y, x)
@@ -203,7 +195,7 @@ def _join_groups(percent: int, most: int):
 
 
 def _candidate_pairs(postings: DataFrame, hot: DataFrame, percent: int, most: int) -> DataFrame:
-    """``postings(token, doc_id, line_no, bits, more, at, target)`` dealt by token, and by pairs of tiles where hot."""
+    """``postings(token, doc_id, line_no, bits, at, target)`` dealt by token, and by pairs of tiles where hot."""
     if not hot.limit(1).count():
         return postings.repartition("token").sortWithinPartitions("token", "at").mapInArrow(_join_groups(percent, most), _PAIRS).distinct()
     joined = semi_by_size(postings, hot, "token", "left", BROADCAST_ROWS).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
@@ -231,7 +223,25 @@ def _wanted_sets(rare: np.ndarray):
                 s = LineSets(W.Chunk(0, text, np.append(0, np.cumsum(stops - begins))), rare)
                 sets = [s.keys[a : a + k].tobytes() for a, k in zip(s.starts.tolist(), s.n.tolist())]
                 ids = batch.column(0).slice(chunk.first).take(pa.array(doc[s.doc]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[s.doc], pa.int32()), pa.array(sets, pa.binary())], ["doc_id", "line_no", "members"])
+                own = W.mix(s.keys) >> np.uint64(64 - 9)
+                parity = np.zeros((len(sets), WIDE), dtype=np.uint8)
+                np.bitwise_xor.at(parity, (np.repeat(np.arange(len(sets)), s.n), own.astype(np.int64)), 1)
+                bits = np.packbits(parity, axis=1)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number[s.doc], pa.int32()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "line_no", "members", "bits"])
+
+    return of
+
+
+def _possible(percent: int):
+    """Pairs whose bitmaps leave room for the threshold."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for x in ("x", "y"))
+                n, m = (batch.column(x).to_numpy() for x in ("n", "m"))
+                apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                yield batch.select(["a_doc", "a_line", "b_doc", "b_line"]).filter(pa.array(apart <= n + m - 2 * need(percent, n, m)))
 
     return of
 
@@ -284,10 +294,10 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
         if few:
             kept = some.join(F.broadcast(repeated), ["doc_id", "line_no"], "left_anti").withColumn("key", key)
         else:
-            kept = some.groupBy("d1", "d2").agg(F.min(key).alias("key"), *first("n", "bits", "more", "prefix"))
-        return kept.select(F.posexplode("prefix").alias("pos", "token"), F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), "bits", "more", "n")
+            kept = some.groupBy("d1", "d2").agg(F.min(key).alias("key"), *first("n", "bits", "prefix"))
+        return kept.select(F.posexplode("prefix").alias("pos", "token"), F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), "bits", "n")
 
-    postings = tokens_of(lines).select("token", "doc_id", "line_no", "bits", "more", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+    postings = tokens_of(lines).select("token", "doc_id", "line_no", "bits", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
     # How many tiles a word's group is cut into decides nothing but the layout, so it is read off a sample of classes.
     sample = tokens_of(lines.where(F.pmod("d1", F.lit(TILE_SAMPLE)) == 0))
     hot = checkpointed(sample.groupBy("token").agg(F.ceil(F.count("*") * TILE_SAMPLE / TILE).cast("int").alias("tiles")).where("tiles > 1"))
@@ -307,7 +317,7 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
         wanted = checkpointed(words_of.select("token").distinct())
         flagged = semi_by_size(postings, wanted, "token", "left_semi", BROADCAST_LINES)
         flagged = semi_by_size(flagged, open_.withColumn("target", F.lit(True)), ["doc_id", "line_no"], "left", BROADCAST_LINES).withColumn("target", F.coalesce("target", F.lit(False)))
-        rest = _candidate_pairs(flagged.select("token", "doc_id", "line_no", "bits", "more", "at", "target"), hot, percent, 0)
+        rest = _candidate_pairs(flagged.select("token", "doc_id", "line_no", "bits", "at", "target"), hot, percent, 0)
         near = near.union(_verify(checkpointed(rest.join(met, ["a_doc", "a_line", "b_doc", "b_line"], "left_anti")), docs, rare, percent))
     gone = checkpointed(near.union(repeated).distinct())
     scratch.drop()
@@ -320,9 +330,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct()
     wanted = checkpointed(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))
     taken = semi_by_size(docs, wanted, "doc_id", "inner", BROADCAST_ROWS).select("doc_id", "text", "wanted")
-    sets = checkpointed(taken.mapInArrow(_wanted_sets(rare), "doc_id long, line_no int, members binary").distinct())
-    side = lambda k, name: sets.select(F.col("doc_id").alias(f"{k}_doc"), F.col("line_no").alias(f"{k}_line"), F.col("members").alias(name))
-    full = pairs.join(side("a", "x"), ["a_doc", "a_line"]).join(side("b", "y"), ["b_doc", "b_line"]).select("b_doc", "b_line", "x", "y")
+    sets = checkpointed(taken.mapInArrow(_wanted_sets(rare), "doc_id long, line_no int, members binary, bits binary").distinct())
+    side = lambda k, of, name: sets.select(F.col("doc_id").alias(f"{k}_doc"), F.col("line_no").alias(f"{k}_line"), F.col(of).alias(name), F.octet_length("members").cast("long").alias(f"{name}_bytes"))
+    near = pairs.join(side("a", "bits", "x"), ["a_doc", "a_line"]).join(side("b", "bits", "y"), ["b_doc", "b_line"])
+    near = near.select("a_doc", "a_line", "b_doc", "b_line", "x", "y", F.expr("x_bytes div 8").alias("n"), F.expr("y_bytes div 8").alias("m")).mapInArrow(_possible(percent), _PAIRS).distinct()
+    full = near.join(side("a", "members", "x"), ["a_doc", "a_line"]).join(side("b", "members", "y"), ["b_doc", "b_line"]).select("b_doc", "b_line", "x", "y")
     return full.mapInArrow(_verified(percent), "doc_id long, line_no int").distinct()
 
 
@@ -339,6 +351,6 @@ def dedup_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     stay = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
     return (
         joined.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long"))
+        .withColumn("n_lines", F.coalesce(1 + F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.size("removed_lines") > 0, stay).otherwise(F.col("text")))
     )
