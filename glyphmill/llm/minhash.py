@@ -13,7 +13,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +26,14 @@ ROWS = 5
 BANDS = 24
 PERMUTATIONS = ROWS * BANDS
 BITS = 4
-#: A pair at the threshold is estimated below threshold - SLACK with a chance near 1e-9 (7 standard deviations).
-SLACK = 0.24
+#: A pair at the threshold is estimated below threshold - SLACK with a chance near 3e-7 (5 standard deviations).
+SLACK = 0.17
 #: Documents per tile side when a band's components are compared.
 TILE = 512
+#: Bits of the parity bitmaps, whose distance is at most the size of two sets' symmetric difference.
+PARITY = 2048
+#: Pairs that a document gives per band in each round of joining components; the last round gives all.
+ROUNDS = (4, 32, 256, 0)
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -122,7 +125,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in W.chunks(batch.column(1)):
             values, bounds = shingle_sets(chunk)
             sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(sets)), pa.array(sets, pa.binary())], ["id", "members"])
+            parity = []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                odd = np.bincount((values[a:b] >> np.uint64(64 - 11)).astype(np.int64), minlength=PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(sets)), pa.array(sets, pa.binary()), pa.array(parity, pa.binary())], ["id", "members", "parity"])
 
 
 def _likely(least: float):
@@ -155,21 +162,62 @@ def _confirmed(percent: int):
     return of
 
 
-def _tile_pairs(least: float):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
-        a = np.frombuffer(b"".join(left["bits"]), dtype=np.uint8).reshape(len(left), -1)
-        b = np.frombuffer(b"".join(right["bits"]), dtype=np.uint8).reshape(len(right), -1)
-        x, y, of_x, of_y = left["id"].to_numpy(), right["id"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
-        found = []
-        for k in range(len(x)):
-            near = (estimated(_EQUAL[a[k] ^ b].sum(axis=1, dtype=np.int64)) >= least) & (of_y != of_x[k])
-            if i == j:
-                near &= y > x[k]
-            for other in y[near]:
-                found.append((min(x[k], other), max(x[k], other)))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
+
+
+def _across(table: pa.Table, least: float, percent: int, most: int) -> pa.RecordBatch:
+    """Likely pairs of different components within whole groups; up to ``most`` (0: all) for each row.
+
+    A row of nulls says that some document had more.
+    """
+    band, i, j, tile, ids, component, n = (table.column(x).to_numpy() for x in ("band", "i", "j", "tile", "id", "component", "n_shingles"))
+    bits, parity = _bytes(table.column("bits"), np.uint8), _bytes(table.column("parity"), np.uint64)
+    met = np.zeros(len(ids), dtype=np.int64)
+    more = False
+    pairs = []
+    active, step = np.arange(len(ids)), 1
+    while len(active):
+        active = active[active + step < len(ids)]
+        x, y = active, active + step
+        active = x = x[(band[x] == band[y]) & (i[x] == i[y]) & (j[x] == j[y])]
+        y = x + step
+        fit = (component[x] != component[y]) & ((i[x] == j[x]) | (tile[x] != tile[y]))
+        x, y = x[fit], y[fit]
+        # At the threshold, 100 * |A ^ B| <= (100 - percent) / (100 + percent) * 100 * (|A| + |B|).
+        fit = estimated(_EQUAL[bits[x] ^ bits[y]].sum(axis=1, dtype=np.int64)) >= least
+        x, y = x[fit], y[fit]
+        apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+        fit = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+        x, y = x[fit], y[fit]
+        if most:
+            fit = (met[x] < most) & (met[y] < most)
+            more |= not fit.all()
+            x, y = x[fit], y[fit]
+            np.add.at(met, x, 1)
+            np.add.at(met, y, 1)
+        pairs.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+        step += 1
+    a, b = np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *[None] * more], pa.int64()), pa.array([*b.tolist(), *[None] * more], pa.int64())], ["a", "b"])
+
+
+def _across_groups(least: float, percent: int, most: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        names = ("band", "i", "j")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(x).to_numpy() for x in names]
+            changed = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            cut = int(changed[-1]) + 1 if len(changed) else 0
+            if kept and (cut or any(kept[-1].column(x)[-1] != batch.column(x)[0] for x in names)) or cut:
+                yield _across(pa.Table.from_batches([*kept, batch.slice(0, cut)]), least, percent, most)
+                kept = []
+            kept.append(batch.slice(cut))
+        if kept:
+            yield _across(pa.Table.from_batches(kept), least, percent, most)
 
     return of
 
@@ -201,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bits = classes.select("id", "bits")
     sets = checkpointed(
         semi_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi", BROADCAST_ROWS)
-        .mapInArrow(_sets, "id long, members binary")
+        .mapInArrow(_sets, "id long, members binary, parity binary")
         .where("length(members) > 0")
         .distinct()
     )
@@ -218,24 +266,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     star = members.join(members.groupBy("band").agg(F.min("id").alias("a")), "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
     tested = confirm(with_bits(star))
     found = components(tested.where("linked"))
-    # Bands whose members are not yet all in one component: a second pivot, then every pair across components.
-    for last in (False, True):
+    # Bands whose members are not yet all in one component: pairs across components, few at first, in the end all.
+    held = classes.select("id", "bits").join(sets.select("id", "parity", F.expr("octet_length(members) div 8").cast("long").alias("n_shingles")), "id")
+    for most in ROUNDS:
         placed = members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        spread = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        rest = checkpointed(placed.join(spread.select("band", "low"), "band"))
-        if not rest.limit(1).count():
+        spread = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("low < high")
+        rest = placed.join(spread.select("band", "tiles"), "band").join(held, "id")
+        dealt = rest.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("tiles", "other")
+        pairs = checkpointed(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across_groups(least, percent, most), "a long, b long").distinct())
+        new = checkpointed(pairs.where("a is not null").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        if new.limit(1).count():
+            more = confirm(new)
+            tested = tested.union(more)
+            if more.where("linked").limit(1).count():
+                found = components(tested.where("linked"))
+        if not pairs.where("a is null").count():
             break
-        if not last:
-            pivot = rest.where("component <> low").groupBy("band").agg(F.min("id").alias("p"))
-            near = rest.join(pivot, "band").join(found.select(F.col("id").alias("p"), F.col("component").alias("of_p")), "p", "left")
-            pairs = near.where("component <> coalesce(of_p, p)").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-            pairs = with_bits(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        else:
-            pairs = _across(rest.join(bits, "id"), least).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = confirm(pairs)
-        tested = tested.union(more)
-        if more.where("linked").limit(1).count():
-            found = components(tested.where("linked"))
     placed = classes.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("component", "id").alias("of"))
     nodes = components_of_ids(sig, placed)
     out = sig.select("doc_id", "n_shingles", "digest").join(nodes, "doc_id", "left") if nodes is not None else sig.join(placed, "digest", "left").withColumnRenamed("of", "component_id")
@@ -250,13 +297,3 @@ def components_of_ids(sig: DataFrame, placed: DataFrame) -> DataFrame | None:
         return None
     linked = sig.where("doc_id is not null and digest is not null").join(placed, "digest").select(F.col("doc_id").alias("a"), F.col("of").alias("b"))
     return components(linked).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "component_id")
-
-
-def _across(rest: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components within each band, by tiles of TILE * TILE documents at most."""
-    tiles = rest.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    salted = rest.join(tiles, "band").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    dealt = salted.select("band", "id", "component", "bits", "tile", others).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
-    return dealt.drop("other").groupBy("band", "i", "j").applyInPandas(_tile_pairs(least), "a long, b long")
-

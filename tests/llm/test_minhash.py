@@ -54,8 +54,10 @@ def fixture_rows():
     return rows
 
 
-@pytest.mark.parametrize("percent", [85, 80])
-def test_against_brute_force(spark, percent):
+@pytest.mark.parametrize("percent,tile,rounds", [(85, 512, (4, 32, 256, 0)), (80, 2, (1, 0))])
+def test_against_brute_force(spark, monkeypatch, percent, tile, rounds):
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
     rows = fixture_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted(map(tuple, minhash.near_duplicates(docs, percent).collect()))
