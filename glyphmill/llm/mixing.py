@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.session import checkpointed
+from glyphmill.llm.session import checkpointed, semi_by_size
 
 LEVELS = ["domain", "lang", "source"]
 #: Documents of a source that share one hash range, on average.
 RANGE_DOCS = 4096
+#: Leaves (sources of one language and domain, about 100 bytes each) that may be broadcast.
+BROADCAST_LEAVES = 200_000
 EPOCHS = 2
 SHARE = 0.5
 SEED = "mix-1"
@@ -113,8 +115,8 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str
     leaf = ["_domain", "_lang", "_source"]
     leaves = checkpointed(rows.groupBy(*leaf).agg(F.sum("_n").alias("tokens"), F.count("*").alias("docs")).toDF(*LEVELS, "tokens", "docs"))
     plan = checkpointed(budgets(leaves, F.floor(F.lit(share) * F.col("all_tokens")), domain_weights, language_weights, source_weights, epochs).where("tokens > 0").toDF(*leaf, "_tokens", "_docs", "_budget"))
-    plan = plan.withColumns({"_whole": F.expr("_budget div _tokens"), "_part": F.expr("_budget % _tokens"), "_ranges": F.ceil(F.col("_docs") / RANGE_DOCS).cast("long")})
-    placed = rows.join(plan, leaf)
+    plan = checkpointed(plan).withColumns({"_whole": F.expr("_budget div _tokens"), "_part": F.expr("_budget % _tokens"), "_ranges": F.ceil(F.col("_docs") / RANGE_DOCS).cast("long")})
+    placed = semi_by_size(rows, plan, leaf, "inner", BROADCAST_LEAVES)
     # Epochs read as a whole, and the one that is read in part.
     epochs_of = F.sequence(F.lit(1), F.col("_whole").cast("int") + F.when(F.col("_part") > 0, 1).otherwise(0))
     placed = placed.where("_budget > 0").withColumn("epoch", F.explode(epochs_of))
