@@ -276,7 +276,7 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not 80 <= percent <= 100:
         raise ValueError("the similarity is 80 % or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)  # and batches are bounded from here on
     rare = rarity(docs)
     lines = scratch.table(docs.mapInArrow(_line_rows(rare, percent), _LINE_ROWS), "lines")
     key = F.struct("doc_id", "line_no")

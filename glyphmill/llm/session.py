@@ -18,8 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that goes to a Python worker, which holds one batch at a time.
+BATCH_ROWS = 1500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps batches for Python workers small; a setting that differs from Spark's default is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where that is unset (as in tests) is a temporary one set."""
+    bounded_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
@@ -75,6 +87,7 @@ def extended(docs: DataFrame, inputs: list, fields: list[T.StructField], kernel:
 
     Columns of ``docs`` with the names of new fields are replaced.  Rows stay where they are: nothing is shuffled.
     """
+    bounded_batches(docs.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [c for c in docs.columns if c.lower() not in names] if keep else []
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
