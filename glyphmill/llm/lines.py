@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import words as W
-from glyphmill.llm.session import Scratch, checkpointed, release, semi_by_size
+from glyphmill.llm.session import checkpointed, release, semi_by_size, tidy, Scratch
 
 BUCKETS = 1 << 16
 #: Lines with fewer distinct words carry no evidence and are left alone.
@@ -56,7 +56,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """A class of 0 (rare) to 255 for each of BUCKETS buckets of words; BUCKETS rows at most reach the driver."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_sketch, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(_sketch), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(BUCKETS, dtype=np.float64)
     for bucket, n in rows:
         count[bucket] = n
@@ -197,12 +197,12 @@ def _join_groups(percent: int, most: int):
 def _candidate_pairs(postings: DataFrame, hot: DataFrame, percent: int, most: int) -> DataFrame:
     """``postings(token, doc_id, line_no, bits, at, target)`` dealt by token, and by pairs of tiles where hot."""
     if not hot.limit(1).count():
-        return postings.repartition("token").sortWithinPartitions("token", "at").mapInArrow(_join_groups(percent, most), _PAIRS).distinct()
+        return postings.repartition("token").sortWithinPartitions("token", "at").mapInArrow(tidy(_join_groups(percent, most)), _PAIRS).distinct()
     joined = semi_by_size(postings, hot, "token", "left", BROADCAST_ROWS).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     placed = joined.withColumn("tile", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
     dealt = dealt.drop("tiles", "other")
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "at").mapInArrow(_join_groups(percent, most), _PAIRS).distinct()
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "at").mapInArrow(tidy(_join_groups(percent, most)), _PAIRS).distinct()
 
 
 def _wanted_sets(rare: np.ndarray):
@@ -278,7 +278,7 @@ def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)  # and batches are bounded from here on
     rare = rarity(docs)
-    lines = scratch.table(docs.mapInArrow(_line_rows(rare, percent), _LINE_ROWS), "lines")
+    lines = scratch.table(docs.mapInArrow(tidy(_line_rows(rare, percent)), _LINE_ROWS), "lines")
     key = F.struct("doc_id", "line_no")
     classes = lines.groupBy("d1", "d2").agg(F.min(key).alias("key"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     # Lines that repeat their class's first line; with repeated rows also that line itself, once.
@@ -330,12 +330,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct()
     wanted = checkpointed(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))
     taken = semi_by_size(docs, wanted, "doc_id", "inner", BROADCAST_ROWS).select("doc_id", "text", "wanted")
-    sets = checkpointed(taken.mapInArrow(_wanted_sets(rare), "doc_id long, line_no int, members binary, bits binary").distinct())
+    sets = checkpointed(taken.mapInArrow(tidy(_wanted_sets(rare)), "doc_id long, line_no int, members binary, bits binary").distinct())
     side = lambda k, of, name: sets.select(F.col("doc_id").alias(f"{k}_doc"), F.col("line_no").alias(f"{k}_line"), F.col(of).alias(name), F.octet_length("members").cast("long").alias(f"{name}_bytes"))
     near = pairs.join(side("a", "bits", "x"), ["a_doc", "a_line"]).join(side("b", "bits", "y"), ["b_doc", "b_line"])
-    near = near.select("a_doc", "a_line", "b_doc", "b_line", "x", "y", F.expr("x_bytes div 8").alias("n"), F.expr("y_bytes div 8").alias("m")).mapInArrow(_possible(percent), _PAIRS).distinct()
+    near = near.select("a_doc", "a_line", "b_doc", "b_line", "x", "y", F.expr("x_bytes div 8").alias("n"), F.expr("y_bytes div 8").alias("m")).mapInArrow(tidy(_possible(percent)), _PAIRS).distinct()
     full = near.join(side("a", "members", "x"), ["a_doc", "a_line"]).join(side("b", "members", "y"), ["b_doc", "b_line"]).select("b_doc", "b_line", "x", "y")
-    return full.mapInArrow(_verified(percent), "doc_id long, line_no int").distinct()
+    return full.mapInArrow(tidy(_verified(percent)), "doc_id long, line_no int").distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import words as W
 from glyphmill.llm.graph import components
-from glyphmill.llm.session import checkpointed, semi_by_size
+from glyphmill.llm.session import checkpointed, semi_by_size, tidy
 
 SIZE = 5
 ROWS = 5
@@ -117,7 +117,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, digest`` of the whole set, ``bands`` and packed ``bits`` (null without shingles)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
+    return rows.mapInArrow(tidy(_signatures), "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,18 +249,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bits = classes.select("id", "bits")
     sets = checkpointed(
         semi_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi", BROADCAST_ROWS)
-        .mapInArrow(_sets, "id long, members binary, parity binary")
+        .mapInArrow(tidy(_sets), "id long, members binary, parity binary")
         .where("length(members) > 0")
         .distinct()
     )
 
     def with_bits(pairs: DataFrame) -> DataFrame:
         full = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_likely(least), "a long, b long")
+        return full.select("a", "b", "x", "y").mapInArrow(tidy(_likely(least)), "a long, b long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-        tested = full.select("a", "b", "x", "y").mapInArrow(_confirmed(percent), "a long, b long, linked boolean")
+        tested = full.select("a", "b", "x", "y").mapInArrow(tidy(_confirmed(percent)), "a long, b long, linked boolean")
         return checkpointed(tested.groupBy("a", "b").agg(F.max("linked").alias("linked")))
 
     star = members.join(members.groupBy("band").agg(F.min("id").alias("a")), "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         rest = placed.join(spread.select("band", "tiles"), "band").join(held, "id")
         dealt = rest.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("tiles", "other")
-        pairs = checkpointed(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across_groups(least, percent, most), "a long, b long").distinct())
+        pairs = checkpointed(dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(tidy(_across_groups(least, percent, most)), "a long, b long").distinct())
         new = checkpointed(pairs.where("a is not null").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         if new.limit(1).count():
             more = confirm(new)

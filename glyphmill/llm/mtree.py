@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.session import checkpointed
+from glyphmill.llm.session import checkpointed, tidy
 
 #: Entries of a page.
 PAGE = 96
@@ -281,7 +281,7 @@ def _top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     most, n_queries = classes.agg(F.max(square)).first()[0], asked.select("rep").distinct().count()
     forest = Forest(most)
     pivots = _spread(np.array(sample, dtype=np.float64).reshape(len(sample), -1), forest)
-    dealt = checkpointed(classes.select("rep", "vector", "ids").mapInArrow(_nearest(forest, pivots), "rep long, vector array<long>, ids array<long>, pivot int"))
+    dealt = checkpointed(classes.select("rep", "vector", "ids").mapInArrow(tidy(_nearest(forest, pivots)), "rep long, vector array<long>, ids array<long>, pivot int"))
     sizes = {r.pivot: r["count"] for r in dealt.groupBy("pivot").count().collect()}
     parts = F.element_at(F.create_map(*[F.lit(int(x)) for p, n in sizes.items() for x in (p, -(-n // TREE))]), F.col("pivot"))
     trees = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
@@ -305,7 +305,7 @@ def _top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     first = checkpointed(search_in(home).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1))
     bound = first.where(F.col("_n") == k + 1).select("rep", F.col("score").alias("kth"))
     onward = home.select("rep", "vector", F.col("pivot").alias("home")).join(bound, "rep", "left").select("rep", "vector", "kth", "home")
-    more = search_in(onward.mapInArrow(_reached(forest, pivots, balls), "rep long, vector array<long>, kth long, pivot int"))
+    more = search_in(onward.mapInArrow(tidy(_reached(forest, pivots, balls)), "rep long, vector array<long>, kth long, pivot int"))
     top = first.select("rep", "vec_id", "score").union(more).withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
     own = asked.select("query_id", "rep").join(top, "rep").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

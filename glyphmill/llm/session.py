@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -29,6 +31,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``kernel``, which gives unused memory back at the end of a partition: Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library can trim
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where that is unset (as in tests) is a temporary one set."""
     bounded_batches(spark)
@@ -100,5 +117,5 @@ def extended(docs: DataFrame, inputs: list, fields: list[T.StructField], kernel:
             made = kernel([batch.column(1 + i) for i in range(n)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], labels)
 
-    out = given.mapInArrow(of, T.StructType([given.schema["_row"], *fields]))
+    out = given.mapInArrow(tidy(of), T.StructType([given.schema["_row"], *fields]))
     return out.select(*([f"_row.`{c}`" for c in kept]), *[f"`{f.name}`" for f in fields])

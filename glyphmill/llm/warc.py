@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.session import shared_folder
+from glyphmill.llm.session import shared_folder, tidy
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 100
@@ -136,7 +136,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A response whose payload does not match its digest, or a record that is cut off, is an error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(_read, "record_id string, page_id long, url string, record_type string, digest string, refers string, block binary")
+    return files.mapInArrow(tidy(_read), "record_id string, page_id long, url string, record_type string, digest string, refers string, block binary")
 
 
 def with_originals(archived: DataFrame) -> DataFrame:
