@@ -18,6 +18,14 @@ TEXTS = [
     "默認的程序會打印圖像，服務器的內存不足。\n\n第一段——很長——真的——完了。\n\n第二段——也有——三個——破折號。\n\n第三段——還是——這樣——寫。",
     "Plain text, no ideographs... and @someone wrote it.",
     "進行測試，使用 Github 和 javascript 的項目。",
+    "你是不是要去嗎？她是漂亮。我們來了和他們說話。他們和我們一樣。我們討論了關於價格的事。對資料進行分析。根據研究顯示，根據報告表示式的寫法。",
+    "敬啟者：因為下雨所以停辦。予以處理。當我來的時候，他走了。",
+    "因為下雨所以停辦。予以處理。當時他說的時候。如果你來那麼我走。這是最好的方法之一。他是最好的作家之一。經濟的減少導致了問題。我會來，如果明天沒有事情的話。",
+    "系統作為核心，他有所作為。這個程式擁有權限，也被廣泛使用。的故事告訴我們。領先時代10年。不只是速度，而是品質。儘管有挑戰，團隊仍然努力。從北到南再到東西兩邊都有。",
+    "實際上，基本上他明顯地不同，誠實地說（honestly）沒事。仔細的看，慢慢地走。透過改善的提升，分析的理解的發現都有。他是一位很好的老師。5年前他曾已看過了。這意味著因此要改。",
+    "# 結論與展望\n- **甲**：請看\n- **乙**：請聽\n- **丙**：請說\n\n## 挑戰與機遇\n1. 請開\n2. 請關\n3. 請等\n\n一——二——三。紅色、白色、黑色。\n\n由此可見\n\n這反映了\n\n不難發現",
+    "然後啊就是這個嘛，其實他說的話我覺得還可以啦然後就這樣呢。這件事情的結果就是大家都同意要把所有的資料都放進同一個地方去保存起來了。他走了。她哭了。我笑了。\n\n- 甲\n\n- 乙\n\n- 丙\n\n完",
+    "他說「這樣『很好』」，又說『外面「裡面」』。「沒有結束。\n\n（半邊）與(ascii)和（錯」。e\u0301 與 é，連結 https://example.org/a_b?c=1「」 和 ./src/main.txt。",
 ]
 
 
