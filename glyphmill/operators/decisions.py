@@ -69,8 +69,8 @@ def top_issues(issues: DataFrame, k: int = 5) -> DataFrame:
 
 
 def coverage(issues: DataFrame, rules: DataFrame) -> DataFrame:
-    checked = rules.agg(F.countDistinct("from").alias("rules_checked"))
-    return issues.agg(F.countDistinct("found").alias("rules_matched")).crossJoin(F.broadcast(checked))
+    both = issues.select(F.col("found").alias("matched"), F.lit(None).cast("string").alias("checked")).union(rules.select(F.lit(None).cast("string"), "from"))
+    return both.agg(F.countDistinct("matched").alias("rules_matched"), F.countDistinct("checked").alias("rules_checked"))
 
 
 def regional_density(docs: DataFrame, issues: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ TEXTS = [
     "# 結論與展望\n- **甲**：請看\n- **乙**：請聽\n- **丙**：請說\n\n## 挑戰與機遇\n1. 請開\n2. 請關\n3. 請等\n\n一——二——三。紅色、白色、黑色。\n\n由此可見\n\n這反映了\n\n不難發現",
     "然後啊就是這個嘛，其實他說的話我覺得還可以啦然後就這樣呢。這件事情的結果就是大家都同意要把所有的資料都放進同一個地方去保存起來了。他走了。她哭了。我笑了。\n\n- 甲\n\n- 乙\n\n- 丙\n\n完",
     "他說「這樣『很好』」，又說『外面「裡面」』。「沒有結束。\n\n（半邊）與(ascii)和（錯」。e\u0301 與 é，連結 https://example.org/a_b?c=1「」 和 ./src/main.txt。",
+    "正文 <!-- glyphmill:disable-next -->\n軟件\n<!-- glyphmill:disable-block -->\n信息\n<!-- glyphmill:enable -->\n視頻 // glyphmill:ignore\n數據 ，好 。 是\n```\n軟件\n~~~\n```\n`軟件` 和 [網路](https://a.b/c) <b>視頻</b>。是的.\n「軟件」一詞，『信息』是大陸的用語",
+    "---\ntitle: 軟件\nlang: zh\n---\n:::note\n信息.\n:::\n# 軟件標題\nGITHUB 和 JavaScript 與 Javascripts 及 github",
 ]
 
 

@@ -312,12 +312,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from glyphmill.plans import detectors  # noqa: F401  (adds its queries)
+    from glyphmill.plans import detectors, marks  # noqa: F401  (they add their queries)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from glyphmill.plans import detectors  # noqa: F401  (adds its queries)
+    from glyphmill.plans import detectors, marks  # noqa: F401  (they add their queries)
 
     return dict(_SQL)
