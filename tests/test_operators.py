@@ -99,5 +99,9 @@ def test_files_and_stream(spark, tmp_path):
 
 
 def test_every_query_runs(spark, sf):
-    assert set(registry.oracle_sql()) == set(registry.queries())
+    # state machines, which SQL can't express; test_marks holds them against brute force or worked examples
+    unchecked = {"bracket_problems", "fenced_lines", "foreign_scopes", "heading_table", "markdown_mask", "resolved_overlaps"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == unchecked and set(registry.oracle_sql()) < set(registry.queries())
+    for name in unchecked:
+        assert registry.queries()[name](spark, sf).count() > 0, name
     assert registry.flagship(spark, sf).count() > 0
