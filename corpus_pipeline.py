@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from glyphmill.llm import contamination, lines, minhash, mixing, quality
 from glyphmill.llm.session import checkpointed, semi_by_size, shared_folder, table
 
+#: Percent of shingles from which documents are near duplicates here; op7's 85 is that query's own.
+NEAR = 80
+
 
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, with ``n_chars`` as the text now is."""
@@ -33,8 +36,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id, one row of it."""
-    gone = checkpointed(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    """One document of each group of near duplicates (NEAR percent) stays: the one with the smallest doc_id, one row of it."""
+    gone = checkpointed(minhash.near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct())
     left = semi_by_size(docs, gone, "doc_id", "left_anti", minhash.BROADCAST_ROWS)
     again = checkpointed(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not again.limit(1).count():

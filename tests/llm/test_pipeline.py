@@ -74,3 +74,12 @@ def test_gradient():
         assert got[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-6), name
 
 
+def test_near_stage_links_from_80_percent(spark):
+    rows = []
+    for k in range(1, 30):  # pairs of 100 shingles, the last k of which differ
+        words = [f"d{k}w{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-k], *[f"d{k}x{i}" for i in range(k)]]))]
+    want = {d for d, _, _, kept in test_minhash.brute(rows, 80) if kept}
+    assert want != {d for d, _, _, kept in test_minhash.brute(rows) if kept}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in P.near_stage(spark, docs, "").collect()} == want
