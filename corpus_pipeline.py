@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line matches go, and documents that have lost all their words by that."""
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(docs, least=lines.MIN_WORDS)
     emptied = (F.size("removed_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return _as_documents(out.where(~emptied), docs)
 

@@ -24,8 +24,8 @@ from glyphmill.llm import words as W
 from glyphmill.llm.session import checkpointed, release, semi_by_size, tidy, Scratch
 
 BUCKETS = 1 << 16
-#: Lines with fewer distinct words carry no evidence and are left alone.
-MIN_WORDS = 5
+#: Distinct words of the smallest line that takes part.
+MIN_WORDS = 1
 #: Members of a word's group that are compared in one piece; larger groups are cut into pairs of tiles.
 TILE = 2048
 #: One of so many classes of equal lines is counted to find the groups that need tiles.
@@ -95,17 +95,19 @@ class LineSets:
         return np.bitwise_xor.reduceat(values, self.starts) if len(self.starts) else values
 
 
-def _line_rows(rare: np.ndarray, percent: int):
+def _line_rows(rare: np.ndarray, percent: int, least: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in W.chunks(batch.column(1)):
                 s = LineSets(chunk, rare)
                 own = W.mix(s.keys)
                 bits = s.xors(np.uint64(1) << (own >> np.uint64(58)))
-                prefix = np.where(s.n >= MIN_WORDS, s.n - (percent * s.n + 99) // 100 + 1, 0)
+                # Where n of n + 1 words are below the threshold only an equal set can match, and that needs no prefix.
+                joins = (s.n >= least) & (100 * s.n >= percent * (s.n + 1))
+                prefix = np.where(joins, s.n - (percent * s.n + 99) // 100 + 1, 0)
                 place = np.arange(len(s.keys)) - np.repeat(s.starts, s.n)
                 tokens = s.keys[place < np.repeat(prefix, s.n)]
-                used = s.n >= MIN_WORDS
+                used = s.n >= least
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(prefix[used])), pa.int32()), pa.array(tokens.view(np.int64)))
                 ids = batch.column(0).slice(chunk.first).take(pa.array(s.doc[used]))
                 yield pa.RecordBatch.from_arrays(
@@ -261,38 +263,44 @@ def _verified(percent: int):
     return of
 
 
-def removed_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 85, least: int = MIN_WORDS) -> DataFrame:
     """``doc_id, line_no`` (from 0) of the lines of ``docs(doc_id, text)`` that some earlier line matches.
 
     Lines are ordered by doc_id, then line_no.  A line goes if any earlier line, itself removed or not, has
     ``100 * |A and B| >= percent * |A or B|`` on the sets of distinct words (white space apart, A-Z lowered).
 
-    - Lines of fewer than MIN_WORDS distinct words never match; null and empty texts have no lines that do.
-    - Equal lines are one class (the first stays) before any pair is made, however many there are.
+    - Lines of fewer than ``least`` (1 or more) distinct words never match; null and empty texts have no lines that do.
+    - Equal lines are one class (the first stays) before any pair is made, however many there are; sets too small to
+      match any but an equal one (at 85 %: up to five words) are settled by that alone.
     - Rows that share a doc_id share line numbers: a number that goes is gone from each of them, and equal rows keep
       what one of them would.
     - Rows with a null doc_id take no part.  An empty table gives no rows.
     """
     if not 80 <= percent <= 100:
         raise ValueError("the similarity is 80 % or more")
+    if least < 1:
+        raise ValueError("a line without words matches nothing")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)  # and batches are bounded from here on
     rare = rarity(docs)
-    lines = scratch.table(docs.mapInArrow(tidy(_line_rows(rare, percent)), _LINE_ROWS), "lines")
+    lines = scratch.table(docs.mapInArrow(tidy(_line_rows(rare, percent, least)), _LINE_ROWS), "lines")
     key = F.struct("doc_id", "line_no")
     classes = lines.groupBy("d1", "d2").agg(F.min(key).alias("key"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     # Lines that repeat their class's first line; with repeated rows also that line itself, once.
-    same = semi_by_size(lines.select("d1", "d2", "doc_id", "line_no"), checkpointed(classes), ["d1", "d2"], "inner", BROADCAST_ROWS)
-    repeated = checkpointed(same.where(key != F.col("key")).select("doc_id", "line_no").distinct())
+    same = semi_by_size(lines.select("d1", "d2", "doc_id", "line_no", (F.size("prefix") > 0).alias("joins")), checkpointed(classes), ["d1", "d2"], "inner", BROADCAST_ROWS)
+    repeated = checkpointed(same.where(key != F.col("key")).groupBy("doc_id", "line_no").agg(F.max("joins").alias("joins")))
     release(spark)
     first = lambda *names: [F.first(x).alias(x) for x in names]
 
-    few = repeated.count() <= BROADCAST_LINES
+    # Only lines that have a prefix need to be kept out of the join.
+    joining, repeated = repeated.where("joins").drop("joins"), repeated.drop("joins")
+    few = joining.count() <= BROADCAST_LINES
 
     def tokens_of(some: DataFrame) -> DataFrame:
         """Prefixes of one line of each class: without the known others if these are few, else by aggregation."""
+        some = some.where(F.size("prefix") > 0)
         if few:
-            kept = some.join(F.broadcast(repeated), ["doc_id", "line_no"], "left_anti").withColumn("key", key)
+            kept = some.join(F.broadcast(joining), ["doc_id", "line_no"], "left_anti").withColumn("key", key)
         else:
             kept = some.groupBy("d1", "d2").agg(F.min(key).alias("key"), *first("n", "bits", "prefix"))
         return kept.select(F.posexplode("prefix").alias("pos", "token"), F.col("key.doc_id").alias("doc_id"), F.col("key.line_no").alias("line_no"), "bits", "n")
@@ -338,13 +346,14 @@ def _verify(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -
     return full.mapInArrow(tidy(_verified(percent)), "doc_id long, line_no int").distinct()
 
 
-def dedup_lines(docs: DataFrame, percent: int = 85) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame:
     """All columns of ``docs``, ``text`` without its removed lines, and ``n_lines, removed_lines`` (sorted numbers).
 
-    Lines that stay keep their order and bytes.  Null texts stay null, with ``n_lines`` 0; see ``removed_lines`` for
+    Lines of fewer than ``least`` distinct words all stay; with MIN_WORDS, as op3 and the pipeline call it, none do for
+    that.  Lines that stay keep their order and bytes.  Null texts stay null, with ``n_lines`` 0; see ``removed_lines`` for
     other cases.  Columns of ``docs`` named ``n_lines`` or ``removed_lines`` are replaced.
     """
-    gone = checkpointed(removed_lines(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines")).withColumnRenamed("doc_id", "_line_doc"))
+    gone = checkpointed(removed_lines(docs, percent, least).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines")).withColumnRenamed("doc_id", "_line_doc"))
     docs = docs.drop("n_lines", "removed_lines")
     joined = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id").cast("long") == F.col("_line_doc"), "left").drop("_line_doc")
     all_lines = F.split("text", "\n", -1)

@@ -30,7 +30,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least=lines.MIN_WORDS)
     return out.select(
         "doc_id",
         "n_lines",

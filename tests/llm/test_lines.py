@@ -52,3 +52,35 @@ def test_texts_keep_the_other_lines(spark):
     assert got == [(1, f"{a}\r\nx", 2, []), (2, f"x\n{b}\n", 4, [0]), (4, "", 1, [0]), (4, "", 1, [0]), (9, "c d e f g h", 1, []), (9, "c d e f g h", 1, [])]
     assert [(r.text, r.n_lines) for r in out.collect() if r.doc_id == 3] == [(None, 0)]
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def every_line(rows, percent=85):
+    """As ``brute``, without a least number of words."""
+    sets = [(d, i, set(word_list(line))) for d, t in sorted((r for r in rows if None not in r)) for i, line in enumerate(t.split("\n"))]
+    return sorted((d, i) for k, (d, i, b) in enumerate(sets) if b and any(100 * len(a & b) >= percent * len(a | b) for *_, a in sets[:k]))
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90, 100])
+def test_short_lines(spark, percent):
+    rng = random.Random(6)
+    pool = ["Les.", "les. LES.", "All rights reserved.", "reserved. all rights", "a b c d", "a b c d e", "a b c d e f", " \t", ""]
+    rows = [(d, "\n".join(rng.choice([*pool, f"own {d}"]) for _ in range(4))) for d in range(30)] + fixture_rows()
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, lines.removed_lines(docs, percent, least=1).collect())) == every_line(rows, percent)
+
+
+def test_the_query_and_the_stage_take_short_lines(spark, sf):
+    import corpus_pipeline
+    from glyphmill.llm import registry
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {}
+    for d, i in every_line([(r.doc_id, r.text) for r in docs.collect()]):
+        want.setdefault(d, []).append(i)
+    got = registry.op3_line_dedup(spark, sf).where("n_removed > 0").collect()
+    assert {r.doc_id: [int(i) for i in r.removed.split(",")] for r in got} == want
+    texts = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, sf).collect()}
+    for r in docs.collect():
+        left = "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in want.get(r.doc_id, []))
+        assert texts.get(r.doc_id) == (left if left.split() or left == r.text else None)
