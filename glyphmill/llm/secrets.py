@@ -3,13 +3,14 @@
 Candidates are long runs of encoding characters with letters and digits.  For each the encoding is inferred, and its
 symbols are tested for uniformity (chi-squared over groups of the alphabet), for runs about the median, and for serial
 correlation.  Fisher's method combines the three into one p-value under randomness, which is small for text made of
-words.  How such values come out for words is learnt from the corpus: runs of lower-case letters of the same length
-class are the null sample.  A candidate's p-value against that null goes into the Benjamini-Hochberg procedure of its
+words.  How such values come out for words is known from a null sample: windows of fixed prose in every length class,
+and the table's own runs of lower-case letters of that class.  A candidate's p-value against that null goes into the Benjamini-Hochberg procedure of its
 length class, so the share of false discoveries is controlled class by class.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphmill.llm.licenses import KNOWN
 from glyphmill.llm.session import checkpointed, extended
 
 # Kinds in the order that breaks ties, their patterns and least lengths.
@@ -36,8 +38,8 @@ WORD = re.compile(r"[a-z]+")
 LENGTHS = [24, 32, 40, 64, 128]
 #: Classes of the combined p-value, on a logarithmic scale from 1 down to 10 ** -(STEPS / 10).
 STEPS = 120
-#: Null strings that a length class needs of its own; with fewer it takes those of all lengths.
-LEAST_NULL = 200
+#: Lengths of the windows of fixed prose that are the null sample of each length class.
+WINDOWS = [(20, 22, 24), (28, 32), (36, 40), (52, 64), (96, 128), (160, 256)]
 
 _ALPHABETS = [
     ("hex", "0123456789abcdef"),
@@ -150,21 +152,35 @@ def _kernel(columns: list[pa.Array]) -> list[pa.Array]:
     return [pa.array(spans, _ARROW_SPAN), pa.array(found, _ARROW_CANDIDATE)]
 
 
+@functools.cache
+def fixed_null() -> np.ndarray:
+    """Strings of the null sample by length class and step, from the letters of the licences' prose run together.
+
+    It doesn't hang on the table, so small tables and tables without long words have p-values as fine as any.
+    """
+    letters = re.sub("[^a-z]+", "", " ".join(KNOWN.values()).lower())
+    out = np.zeros((len(LENGTHS) + 1, STEPS + 1))
+    for c, lengths in enumerate(WINDOWS):
+        for n in lengths:
+            for at in range(len(letters) - n + 1):
+                out[c, step_of(battery(letters[at : at + n])[4])] += 1
+    return out
+
+
 def thresholds(counts: list[tuple[int, int, bool, int]], rate: float) -> dict[int, int]:
     """For each length class the largest step that is still a discovery (-1: none), by Benjamini-Hochberg.
 
     ``counts``: (length class, step, is null, strings).  A step's p-value is the share of null strings that look at
-    least as random, (1 + count) / (1 + total).
+    least as random, (1 + count) / (1 + total); to those of the table come those of ``fixed_null``.
     """
     classes = range(len(LENGTHS) + 1)
-    null = np.zeros((len(LENGTHS) + 1, STEPS + 1))
+    null = fixed_null().copy()
     seen = np.zeros_like(null)
     for length_class, step, is_null, n in counts:
         (null if is_null else seen)[length_class, step] += n
     out = {}
     for c in classes:
-        own = null[c] if null[c].sum() >= LEAST_NULL else null.sum(axis=0)
-        p = (1 + np.cumsum(own)) / (1 + own.sum())
+        p = (1 + np.cumsum(null[c])) / (1 + null[c].sum())
         passed = np.cumsum(seen[c])
         fits = np.flatnonzero((passed > 0) & (p <= rate * passed / max(1, seen[c].sum())))
         out[c] = int(fits[-1]) if len(fits) else -1

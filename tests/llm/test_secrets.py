@@ -44,3 +44,16 @@ def test_battery():
     assert name == "hex" and min(p) > 0.01
     assert S.battery("abababababababababababab")[4] < 1e-4 and S.battery("thetionthetion" * 4)[4] < 1e-3
     assert S.thresholds([], 0.05)[0] == -1
+
+
+def test_a_small_table_of_ordinary_prose(spark):
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    prose = "It was a bright cold day in spring, and the clocks on the old tower were all striking one after the other."
+    keys = ["".join(rng.choice(b64) for _ in range(44)) for _ in range(12)]
+    rows = [(i, f"{prose} {k} {prose}") for i, k in enumerate(keys)] + [(100 + i, prose) for i in range(20)]
+    rows += [(200 + i, f"{prose} my_long_function_name_of_the_table_{i}") for i in range(12)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    at = len(prose) + 1
+    assert sum((at, 3, at + 44) in got[i] for i in range(12)) >= 9
+    assert not any(got[i] for i in got if i >= 100)
