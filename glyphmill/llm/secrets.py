@@ -1,6 +1,6 @@
 """Secrets in texts: base patterns, and random strings found by a battery of randomness tests.
 
-Candidates are long runs of encoding characters with letters and digits.  For each the encoding is inferred, and its
+Candidates are long runs of encoding characters, without what base patterns cover.  For each the encoding is inferred, and its
 symbols are tested for uniformity (chi-squared over groups of the alphabet), for runs about the median, and for serial
 correlation.  Fisher's method combines the three into one p-value under randomness, which is small for text made of
 words.  How such values come out for words is known from a null sample: windows of fixed prose in every length class,
@@ -42,6 +42,7 @@ STEPS = 120
 WINDOWS = [(20, 22, 24), (28, 32), (36, 40), (52, 64), (96, 128), (160, 256)]
 
 _ALPHABETS = [
+    ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
@@ -76,7 +77,7 @@ def inferred(string: str) -> tuple[str, np.ndarray, int]:
     for name, have, index, size in _INDEX:
         if letters <= have:
             return name, np.array([index[c] for c in core]), size
-    index = _INDEX[6][2]
+    index = _INDEX[7][2]
     return "mixed", np.array([index.get(c, 63) for c in core]), 64
 
 
@@ -123,16 +124,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, length class, step of the combined p-value, is null) of long runs outside the base spans."""
+    """(start, end, length class, step of the combined p-value, is null) of long runs, base spans cut out of them.
+
+    Only whole runs are null: what is left beside a base span is part of a longer string.
+    """
     out = []
     for m in RUN.finditer(text):
-        s = m.group()
-        null = WORD.fullmatch(s) is not None
-        if not null and not (any("0" <= c <= "9" for c in s) and any(c.isalpha() for c in s)):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        out.append((m.start(), m.end(), sum(len(s) > top for top in LENGTHS), step_of(battery(s)[4]), null))
+        at, pieces = m.start(), []
+        for a, _, b in base:
+            if a < m.end() and at < b:
+                pieces.append((at, a))
+                at = b
+        for a, b in [*pieces, (at, m.end())]:
+            if b - a >= LEAST:
+                s = text[a:b]
+                out.append((a, b, sum(len(s) > top for top in LENGTHS), step_of(battery(s)[4]), not pieces and WORD.fullmatch(s) is not None))
     return out
 
 
@@ -194,7 +200,7 @@ def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     strings, found with a false discovery rate of ``rate`` in each length class over the whole table.
 
     - Null texts are empty and have no spans; an empty table gives no rows; repeated rows each get their spans.
-    - Texts are read whole, however long; random strings that overlap a base span are not given again.
+    - Texts are read whole, however long; base spans are cut out of random strings, and pieces of LEAST characters stay.
     - Columns named ``base_spans``, ``spans`` or ``found`` are replaced.
 
     The text's findings are checkpointed, so texts are read once; what reaches the driver is a table of at most

@@ -57,3 +57,11 @@ def test_a_small_table_of_ordinary_prose(spark):
     at = len(prose) + 1
     assert sum((at, 3, at + 44) in got[i] for i in range(12)) >= 9
     assert not any(got[i] for i in got if i >= 100)
+
+
+def test_runs_of_one_kind_and_beside_base_spans():
+    letters, digits, rest = "QwErTyUiOpAsDfGhJkLz", "83920174650918273645", "ZxCvBnMqWeRtYuIoPaSd7"
+    text = f"{letters} {digits} {'deadbeef' * 3}{rest} {rest}-AKIA{'Q7' * 8}_{letters} AKIA{'Q7' * 8}short wordwordwordwordword"
+    got = [(text[a:b], null) for a, b, *_, null in S.candidates(text, S.base_spans(text))]
+    assert got == [(letters, False), (digits, False), (rest, False), (rest + "-", False), ("_" + letters, False), ("wordwordwordwordword", True)]
+    assert S.battery(digits)[0] == "decimal" and S.battery(digits)[4] > 0.01
