@@ -84,6 +84,29 @@ You should have received a copy of the GNU General Public License along with thi
     "notice:CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
 }
 
+_MIT_BODY, _BSD = KNOWN["MIT"].partition("\n")[2], KNOWN["BSD-2-Clause"].partition("\n")[2]
+_BSD_3 = _BSD.replace("\n\nTHIS SOFTWARE", "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")
+#: Usual titles, and texts without one, beside those of KNOWN; the SQL knows KNOWN only.
+VARIANTS = [
+    *[("MIT", title + _MIT_BODY) for title in ("", "The MIT License\n", "The MIT License (MIT)\n", "MIT License (MIT)\n")],
+    *[("BSD-2-Clause", title + _BSD) for title in ("", "The 2-Clause BSD License\n", "BSD-2-Clause License\n", "Simplified BSD License\n")],
+    *[("BSD-3-Clause", title + _BSD_3) for title in ("", "BSD 3-Clause License\n", "The 3-Clause BSD License\n", "BSD-3-Clause License\n")],
+    ("ISC", KNOWN["ISC"].partition("\n")[2]),
+    ("ISC", "The ISC License\n" + KNOWN["ISC"].partition("\n")[2]),
+]
+#: SHA-256 of the canonical form of full licence texts, as Debian ships them in /usr/share/common-licenses.
+FULL = {
+    "Apache-2.0": "bf1bd8e70f9e48b7c553fd9a59e5bf6a5e5e610f21f0efe52c6b9ba138c42ea6",
+    "GPL-2.0": "c683128a79af968653f7a06709159e41adcfcb00ca1e8ab9ffa1d516dcf82123",
+    "GPL-3.0": "af9d1e7b0a50a8d8687f8a8570d57d3873edbaa2f7b25edc80097a1bdb1de91b",
+    "LGPL-2.0": "b64047590f42a52d46a8a93fad9485df2e189694e4b51288546e57ce10e59769",
+    "LGPL-2.1": "bc7898eef7d53923eff574c7a898468049b8e1e90eef19ba0b8132904dd70a66",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f984389a723626d357385bd0262673e78df7b908492157a5e99a47ed8d0d4c0e",
+    "MPL-2.0": "b59ad31436b35a95a00cff48e84c1f014339f59fac784c1935fc6f7dc34abf70",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+}
+
 #: Pattern and replacement of each step, in order, on text with A-Z lowered; Java and RE2 read them alike.
 STEPS = [
     (r"\r\n?", "\n"),
@@ -121,9 +144,11 @@ def _java(replacement: str) -> str:
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """``digest, license_id`` of the fixed texts, by the same expression as for documents."""
-    rows = docs.sparkSession.createDataFrame(list(KNOWN.items()), "license_id string, body string")
-    return rows.groupBy(F.sha2(canonical(F.col("body")), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    """``digest, license_id`` of the fixed texts, by the same expression as for documents, and of FULL."""
+    rows = docs.sparkSession.createDataFrame([*KNOWN.items(), *VARIANTS], "license_id string, body string")
+    full = docs.sparkSession.createDataFrame(list(FULL.items()), "license_id string, digest string")
+    every = rows.select(F.sha2(canonical(F.col("body")), 256).alias("digest"), "license_id").union(full.select("digest", "license_id"))
+    return every.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def matched(docs: DataFrame) -> DataFrame:

@@ -27,3 +27,16 @@ def test_texts_are_told_apart(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.matched(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_full_texts_and_titles(spark):
+    from pathlib import Path
+
+    home = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+    rows = [(k, (home / v).read_text()) for k, v in files.items() if (home / v).exists()]
+    mit, bsd = licenses.KNOWN["MIT"], licenses.KNOWN["BSD-2-Clause"]
+    rows += [("MIT", mit.replace("MIT License", title, 1)) for title in ("", "The MIT License", "The MIT License (MIT)")]
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows += [("BSD-3-Clause", bsd.replace("BSD 2-Clause", "BSD 3-Clause").replace("THIS SOFTWARE IS", third + "\n\nTHIS SOFTWARE IS"))]
+    assert all(r.k == r.license_id for r in licenses.matched(spark.createDataFrame(rows, "k string, text string")).collect())
