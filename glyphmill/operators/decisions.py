@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions import text as X
+from glyphmill.operators import lexical as L
+
 
 def demoted(issues: DataFrame, terms: DataFrame) -> DataFrame:
     """Issues whose ``found`` is among ``terms(term)`` become Info."""
@@ -25,14 +28,36 @@ def with_memory(issues: DataFrame, memory: DataFrame) -> DataFrame:
     return issues.join(kept, "found", "left").withColumn("severity", F.when(F.coalesce("_kept", F.lit(False)) & ~immune, "info").otherwise(F.col("severity"))).drop("_kept")
 
 
-def with_glossary(issues: DataFrame, glossary: DataFrame) -> DataFrame:
-    """``glossary(term, kind)``: proper nouns are no issues, banned terms are errors."""
+def with_glossary(issues: DataFrame, glossary: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """``glossary(term, kind)``: proper nouns are no issues, banned terms are errors.
+
+    With ``docs``, each place of a banned term that lies in an issue makes that (its first) an error, and each other
+    place is an error of its own; masks apply to these as to any findings (``lexical.without_mask``).
+    """
     terms = glossary.select(F.col("term").alias("found"), "kind")
     left = issues.join(terms.where("kind = 'proper_noun'"), "found", "left_anti")
+    if docs is not None:
+        return _with_banned(left, docs, [r[0] for r in glossary.where("kind = 'banned' and term <> ''").select("term").distinct().collect()])
     banned = terms.where("kind = 'banned'").select("found", F.lit(True).alias("_banned")).distinct()
     return left.join(banned, "found", "left").withColumn("severity", F.when(F.col("_banned"), "error").otherwise(F.col("severity"))).drop("_banned")
 
 
+def _with_banned(issues: DataFrame, docs: DataFrame, banned: list[str]) -> DataFrame:
+    spark = docs.sparkSession
+    for term in banned:
+        spots = L.hits(docs, spark.createDataFrame([(term,)], "`from` string")).select("doc_id", F.col("pos").alias("_at"))
+        holds = (F.col("pos") <= F.col("_at")) & (F.col("_at") + len(term) <= F.col("pos") + F.length("found"))
+        over = spots.join(issues, "doc_id").where(holds).groupBy("doc_id", "_at").agg(F.min(F.struct("pos", "found")).alias("_of"))
+        raised = over.select("doc_id", "_of.pos", "_of.found").distinct().withColumn("_raised", F.lit(True))
+        new = spots.join(over, ["doc_id", "_at"], "left_anti").join(docs.select("doc_id", "text"), "doc_id")
+        text, at = F.col("text"), F.col("_at")
+        made = {"pos": at, "byte_offset": X.byte_offset(text, at), "line": X.line_of(text, at), "col": X.column_of(text, at), "found": F.lit(term), "suggestions": F.array(), "rule_type": F.lit("cross_strait"), "severity": F.lit("error")}
+        added = new.select(*[(F.col(f.name) if f.name == "doc_id" else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in issues.schema])
+        kept = issues.join(raised, ["doc_id", "pos", "found"], "left").withColumn("severity", F.when(F.col("_raised"), "error").otherwise(F.col("severity")))
+        issues = kept.select(*issues.columns).union(added)
+    return issues
+
+
 def fingerprint():
     """A finding's fingerprint, which does not hang on its position."""
     return F.sha2(F.concat_ws("|", "rule_type", "found", F.col("doc_id").cast("string")).cast("binary"), 256)

@@ -127,7 +127,7 @@ def translation_memory(spark, sf_dir):
 @_query(f"WITH {_HITS} SELECT doc_id, pos, CASE WHEN found = '視頻' THEN 'error' ELSE severity END AS severity FROM issues WHERE found <> '數據庫'")
 def glossary(spark, sf_dir):
     terms = spark.createDataFrame([("視頻", "banned"), ("數據庫", "proper_noun")], "term string, kind string")
-    return D.with_glossary(_issues(spark, sf_dir), terms).select("doc_id", "pos", "severity")
+    return D.with_glossary(_issues(spark, sf_dir), terms, overlay.documents(spark, sf_dir)).select("doc_id", "pos", "severity")
 
 
 @_query(f"WITH {_HITS} SELECT doc_id, pos, found FROM issues WHERE doc_id % 2 = 1")

@@ -105,3 +105,13 @@ def test_every_query_runs(spark, sf):
     for name in unchecked:
         assert registry.queries()[name](spark, sf).count() > 0, name
     assert registry.flagship(spark, sf).count() > 0
+
+
+def test_banned_terms_that_no_rule_finds(spark):
+    from glyphmill.operators import decisions
+
+    docs = spark.createDataFrame([(1, "好視頻\n壞東西壞"), (2, "沒有")], "doc_id long, text string")
+    issues = spark.createDataFrame([(1, 1, "視頻", "warning")], "doc_id long, pos int, found string, severity string")
+    terms = spark.createDataFrame([("視", "banned"), ("壞", "banned")], "term string, kind string")
+    got = sorted(map(tuple, decisions.with_glossary(issues, terms, docs).select("doc_id", "pos", "found", "severity").collect()))
+    assert got == [(1, 1, "視頻", "error"), (1, 4, "壞", "error"), (1, 7, "壞", "error")]
