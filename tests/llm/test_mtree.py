@@ -49,12 +49,39 @@ def test_bounds_spare_distances():
     ids = [np.array([p]) for page in pages if page.leaf for p in page.children]
     for page in pages:
         if page.leaf:
-            page.children = [next(i for i, y in enumerate(ids) if y[0] == c) for c in page.children]
-    total = 0
-    for q in x[::200]:
-        to_root = float(forest.query(float(q @ q), np.array([x[0] @ q]))[0])
-        found, computed = mtree.search(pages, ids, q, to_root, forest, 5, math.inf)
+            page.children = np.array([next(i for i, y in enumerate(ids) if y[0] == c) for c in page.children])
+    queries = x[::200]
+    to_root = forest.query((queries * queries).sum(1), queries @ x[0])
+    best, computed = mtree.search(pages, ids, queries, to_root, forest, 5, np.full(len(queries), math.inf))
+    for i, q in enumerate(queries):
+        own = best.query == i
         want = sorted(((int(s), -i) for i, s in enumerate(x @ q)), reverse=True)[:5]
-        assert sorted(found, reverse=True) == want
-        total += computed
-    assert total < 0.7 * 20 * len(x)
+        assert list(zip(best.score[own].tolist(), (-best.id[own]).tolist())) == want
+    assert computed < 0.35 * len(queries) * len(x)
+
+
+def test_clustered_vectors_spare_trees(spark, monkeypatch):
+    """The forest's bounds: most distances are never computed where vectors lie in clusters; shells and repeated ids."""
+    monkeypatch.setattr(mtree, "TREE", 100)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 2, (12, 6))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.02, 6)).round(3).tolist()) for i in range(2400)]
+    rows += [(100, rows[7][1]), (100, rows[31][1]), (50, [0.25] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = mtree.scaled(table)
+    computed = spark.sparkContext.accumulator(0)
+    got = sorted(map(tuple, mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, computed).collect()))
+    whole = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows}
+    want = []
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        scores = [(-sum(x * y for x, y in zip(a, b)), i) for j, a in whole if j == q for i, b in whole if i != q]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5])]
+    assert got == sorted(want)
+    assert computed.value < 0.35 * len({i for i, _ in whole if i % 50 == 0}) * len(whole)
+
+
+def test_large_components():
+    """Products beyond 2**53 are exact."""
+    forest = mtree.Forest(float(2**62))
+    x = np.array([[2.0**30 + 1, 3.0], [2.0**30, 5.0]])
+    assert forest.products(x, x).tolist() == [[(2**30 + 1) ** 2 + 9, (2**30 + 1) * 2**30 + 15], [(2**30 + 1) * 2**30 + 15, 2**60 + 25]]
