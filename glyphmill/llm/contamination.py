@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm import words as W
-from glyphmill.llm.session import extended
+from glyphmill.llm.session import checkpointed, extended
 
 WINDOW = 10
 #: Words of items in one automaton (about 80 MB); a larger benchmark is cut into several, used one after another.
 SHARD_WORDS = 100_000
+#: Automata of one plan, which a task holds at the same time; then the findings so far are checkpointed.
+PLAN_SHARDS = 4
 
 
 class Automaton:
@@ -199,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     - Long texts are streamed whole.  Rows stay where they are; repeated rows each get their result.
 
     The automaton is broadcast; its size is bounded by SHARD_WORDS, beyond which the benchmark is cut by item into
-    several automata that are passed one after another.  No item may be larger than an executor's memory.
+    several automata that are passed one after another, PLAN_SHARDS of them in one plan.  No item may be larger than an executor's memory.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -210,6 +212,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         matcher = Matcher([(r.item_id, r.text) for r in rows], window)
         more = [F.col("hit_words"), F.col("hit_items")] if shard else []
         out = extended(out, [F.col("text").cast("string"), *more], _FIELDS, _kernel(matcher))
+        if shard % PLAN_SHARDS == PLAN_SHARDS - 1 and shard < shards - 1:
+            out = checkpointed(out)
     return out
 
 
@@ -233,12 +237,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     A document goes as a whole if more than ``most_share`` of its words, or more than ``most_words`` of them, are hit.
     Others lose the hit spans (from the first word's start to the last word's end) and keep every other byte; what
-    hits nothing is unchanged.  Documents without words stay.
+    hits nothing is unchanged.  Documents without words stay.  Other columns come along, whatever their names.
     """
-    found = contaminated(docs, benchmark, window)
-    left = found.withColumn("_hit", n_hit()).where(F.col("_hit") <= F.least(F.lit(most_words), F.lit(most_share) * F.col("n_words")))
-    cut = extended(left, [F.col("text").cast("string"), F.col("hit_words")], [T.StructField("text", T.StringType())], _cut)
-    return cut.select(*[f"`{c}`" for c in docs.columns])
+    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # own names can't clash
+    found = contaminated(packed, benchmark, window)
+    left = found.where(n_hit() <= F.least(F.lit(most_words), F.lit(most_share) * F.col("n_words")))
+    cut = extended(left, [F.col("text"), F.col("hit_words")], [T.StructField("text", T.StringType())], _cut)
+    return cut.select(*[F.col("text") if c.lower() == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def n_hit():

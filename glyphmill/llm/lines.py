@@ -32,7 +32,7 @@ TILE = 2048
 TILE_SAMPLE = 64
 #: Candidates that a line meets in one group at first; where none of these is confirmed, all others follow.
 FIRST = 32
-#: Rows of document ids with lists of line numbers that may be broadcast.
+#: Rows of document ids, or of digests, that may be broadcast.
 BROADCAST_ROWS = 200_000
 #: Line numbers with their document ids (about 60 bytes each) that may be broadcast.
 BROADCAST_LINES = 1_000_000
@@ -337,7 +337,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -
     """The later lines of those pairs that hold on the full sets."""
     ends = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")).union(pairs.select("b_doc", "b_line")).distinct()
     wanted = checkpointed(ends.groupBy("doc_id").agg(F.collect_list("line_no").alias("wanted")))
-    taken = semi_by_size(docs, wanted, "doc_id", "inner", BROADCAST_ROWS).select("doc_id", "text", "wanted")
+    taken = docs.join(F.broadcast(wanted) if _few(wanted, "wanted") else wanted, "doc_id").select("doc_id", "text", "wanted")
     sets = checkpointed(taken.mapInArrow(tidy(_wanted_sets(rare)), "doc_id long, line_no int, members binary, bits binary").distinct())
     side = lambda k, of, name: sets.select(F.col("doc_id").alias(f"{k}_doc"), F.col("line_no").alias(f"{k}_line"), F.col(of).alias(name), F.octet_length("members").cast("long").alias(f"{name}_bytes"))
     near = pairs.join(side("a", "bits", "x"), ["a_doc", "a_line"]).join(side("b", "bits", "y"), ["b_doc", "b_line"])
@@ -346,6 +346,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, rare: np.ndarray, percent: int) -
     return full.mapInArrow(tidy(_verified(percent)), "doc_id long, line_no int").distinct()
 
 
+def _few(rows: DataFrame, lists: str) -> bool:
+    """Whether ids with lists of line numbers are few enough to be broadcast: BROADCAST_ROWS rows, BROADCAST_LINES numbers."""
+    n, numbers = rows.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return n <= BROADCAST_ROWS and (numbers or 0) <= BROADCAST_LINES
+
+
 def dedup_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame:
     """All columns of ``docs``, ``text`` without its removed lines, and ``n_lines, removed_lines`` (sorted numbers).
 
@@ -355,9 +361,11 @@ def dedup_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame
     """
     gone = checkpointed(removed_lines(docs, percent, least).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines")).withColumnRenamed("doc_id", "_line_doc"))
     docs = docs.drop("n_lines", "removed_lines")
-    joined = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id").cast("long") == F.col("_line_doc"), "left").drop("_line_doc")
+    joined = docs.join(F.broadcast(gone) if _few(gone, "removed_lines") else gone, F.col("doc_id").cast("long") == F.col("_line_doc"), "left").drop("_line_doc")
     all_lines = F.split("text", "\n", -1)
-    stay = F.array_join(F.filter(all_lines, lambda _, i: ~F.array_contains("removed_lines", i)), "\n")
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("removed_lines"))
+    # The lines are split once, as the one element of an array.
+    stay = F.element_at(F.transform(F.array(all_lines), lambda every: F.array_join(F.transform(numbers, lambda i: F.get(every, i)), "\n")), 1)
     return (
         joined.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
         .withColumn("n_lines", F.coalesce(1 + F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)).cast("long"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import words as W
 from glyphmill.llm.graph import components
-from glyphmill.llm.session import checkpointed, semi_by_size, tidy
+from glyphmill.llm.session import checkpointed, hot_keys, salted_join, semi_by_size, tidy
 
 SIZE = 5
 ROWS = 5
@@ -34,6 +34,8 @@ TILE = 512
 PARITY = 2048
 #: Pairs that a document gives per band in each round of joining components; the last round gives all.
 ROUNDS = (4, 32, 256, 0)
+#: Members of a pivot that are confirmed in one task.
+PIVOT_ROWS = 1000
 #: Ids (8 bytes each) that may be broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -255,11 +257,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
     def with_bits(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+        pairs = checkpointed(pairs)
+        full = salted_join(pairs, bits.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a", hot_keys(pairs, "a")).join(bits.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
         return full.select("a", "b", "x", "y").mapInArrow(tidy(_likely(least)), "a long, b long")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
+        # A pivot's set goes to several tasks where it has many members.
+        pairs = checkpointed(pairs)
+        hot = hot_keys(pairs, "a", PIVOT_ROWS)
+        full = salted_join(pairs, sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a", hot).join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
         tested = full.select("a", "b", "x", "y").mapInArrow(tidy(_confirmed(percent)), "a long, b long, linked boolean")
         return checkpointed(tested.groupBy("a", "b").agg(F.max("linked").alias("linked")))
 

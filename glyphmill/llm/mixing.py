@@ -18,7 +18,7 @@ from glyphmill.llm.session import checkpointed, semi_by_size
 
 LEVELS = ["domain", "lang", "source"]
 #: Documents of a source that share one hash range, on average.
-RANGE_DOCS = 4096
+RANGE_DOCS = 1024
 #: Leaves (sources of one language and domain, about 100 bytes each) that may be broadcast.
 BROADCAST_LEAVES = 200_000
 EPOCHS = 2
@@ -105,7 +105,7 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str
 
     - Null and empty texts have no tokens: they come along with whole epochs and up to where an epoch's budget ends.
     - Null languages and sources are names of their own (empty); a null doc_id is ordered as empty.
-    - Repeated rows are read one by one, in an order of their own that hangs on nothing but their position.
+    - Rows that share a doc_id are read one by one, in the order of a hash of their columns; equal rows are as good as each other.
     - No rows, or no tokens, give no rows.  Columns with the new names are replaced.
     """
     named = docs.drop("domain", "n_tokens", "epoch") if columns is None else docs
@@ -121,13 +121,14 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str
     epochs_of = F.sequence(F.lit(1), F.col("_whole").cast("int") + F.when(F.col("_part") > 0, 1).otherwise(0))
     placed = placed.where("_budget > 0").withColumn("epoch", F.explode(epochs_of))
     key = order_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch"), seed)
-    placed = placed.withColumn("_key", key).withColumn("_range", F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _ranges div 4294967296"))
+    hashed = [F.col(f"`{f.name}`") for f in named.schema if "map<" not in f.dataType.simpleString()]
+    placed = placed.withColumn("_tie", F.xxhash64(*hashed)).withColumn("_key", key).withColumn("_range", F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _ranges div 4294967296"))
     whole = placed.where("epoch <= _whole")
     part = placed.where("epoch > _whole")
     sums = part.groupBy(*leaf, "_range").agg(F.sum("_n").alias("_in_range"))
     ahead = F.sum("_in_range").over(Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     starts = sums.withColumn("_ahead", ahead - F.col("_in_range")).drop("_in_range")
-    own = Window.partitionBy(*leaf, "_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy(*leaf, "_range").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = part.join(starts, [*leaf, "_range"]).where("_ahead <= _part").withColumn("_end", F.col("_ahead") + F.sum("_n").over(own)).where("_end <= _part")
     out = whole.select(*[f"`{c}`" for c in keep], "_domain", "_n", "epoch").union(part.select(*[f"`{c}`" for c in keep], "_domain", "_n", "epoch"))
     return out.withColumnsRenamed({"_domain": "domain", "_n": "n_tokens"})

@@ -17,9 +17,10 @@ from glyphmill.llm import words as W
 from glyphmill.llm.session import extended
 
 PASSAGE = 64
-#: Labelled rows and their greatest length that training takes; the rows are those of smallest id hash.
+#: Labelled documents that training takes (those of smallest id hash), and passages of each: of a longer text as many,
+#: evenly spaced over the whole of it.  Scores use every passage.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 40_000
+SAMPLE_PASSAGES = 256
 ENCODED, ATTENTION, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 64, 4e-3, 2e-4
 
 #: Classes of bytes: each printable ASCII sign its own, digits, a-z, A-Z, white space, control, beyond ASCII.
@@ -157,7 +158,9 @@ def _bag_kernel(columns: list[pa.Array]) -> list[pa.Array]:
     out = []
     for chunk in W.chunks(columns[0]):
         x, doc = passages(chunk)
-        out += [x[a:b].tobytes() for a, b in zip(*(np.searchsorted(doc, np.arange(len(chunk.bounds) - 1), side) for side in ("left", "right")))]
+        for a, b in zip(*(np.searchsorted(doc, np.arange(len(chunk.bounds) - 1), side) for side in ("left", "right"))):
+            own = np.arange(a, b) if b - a <= SAMPLE_PASSAGES else np.linspace(a, b - 1, SAMPLE_PASSAGES).astype(int)
+            out.append(x[own].tobytes())
     return [pa.array(out, pa.binary())]
 
 
@@ -165,13 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model
     """A model from at most ``rows`` labelled documents; None without both labels.
 
     ``labels(doc_id, quality)``: rows with a null in either are skipped; a document labelled twice counts as its
-    smallest label.  The choice hangs on hashes of ids only; texts beyond SAMPLE_CHARS characters are not chosen.
+    smallest label, and rows that share a doc_id as one, with the smallest text.  The choice hangs on hashes of ids
+    only.  A text of more than SAMPLE_PASSAGES passages gives as many, evenly spaced.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(known), "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    got = extended(chosen, [F.col("text")], [T.StructField("bag", T.BinaryType())], _bag_kernel).select("doc_id", "quality", "bag").limit(2 * rows).collect()
+    chosen = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = extended(chosen, [F.col("text")], [T.StructField("bag", T.BinaryType())], _bag_kernel).select("doc_id", "quality", "bag").collect()
     got.sort(key=lambda r: (r.doc_id, r.bag))
     y = np.array([r.quality for r in got], dtype=np.float64)
     if len(set(y)) < 2:
@@ -202,4 +206,5 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def held_out(doc_id):
+    """Whether crc32 of the id as text leaves 1 modulo 3; null for a null id, whose labels train nothing."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1

@@ -47,11 +47,14 @@ def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (as in tests) is a temporary one set."""
+    """The session's ``spark.checkpoint.dir``; only where that is unset and all runs in one process, a temporary one."""
     bounded_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -99,6 +102,30 @@ def semi_by_size(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(F.broadcast(right) if right.count() <= most_rows else right, on, how)
 
 
+#: Rows of one key that a task of a join takes; more are dealt to several.
+HOT_ROWS = 20_000
+#: Hot keys (16 bytes each) that may be broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def hot_keys(left: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:
+    """``key, _salts``: keys of more than ``rows`` (HOT_ROWS) rows and the tasks they are dealt to; None if there are none."""
+    counted = left.groupBy(key).agg(F.ceil(F.count("*") / (rows or HOT_ROWS)).cast("int").alias("_salts")).where("_salts > 1")
+    hot = checkpointed(counted)
+    return hot if hot.limit(1).count() else None
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """The inner join of ``left`` with the one row of each key of ``right``, which goes to all tasks of a hot key."""
+    if hot is None:
+        return left.join(right, key)
+    dealt = semi_by_size(left, hot, key, "left", BROADCAST_KEYS)
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    spread = semi_by_size(right, hot, key, "left", BROADCAST_KEYS)
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def extended(docs: DataFrame, inputs: list, fields: list[T.StructField], kernel: Callable[[list[pa.Array]], list[pa.Array]], keep: bool = True) -> DataFrame:
     """All columns of ``docs`` (unless not ``keep``) and the ``fields`` that ``kernel`` makes from the ``inputs`` of a batch.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,14 +29,17 @@ _HARD = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding_of(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoding(path: str):
+    return encoding_of(Path(path).read_bytes())
+
+
 def leaves_of(text: str) -> list[str]:
     out, at = [], 0
     while True:
@@ -138,9 +142,9 @@ class CountTree:
 _FIELDS = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_tokens_after", "n_edits", "n_chars_encoded_again")]
 
 
-def _kernel(path: str, with_text: bool):
+def _kernel(vocabulary: bytes, with_text: bool):
     def of(columns: list[pa.Array]) -> list[pa.Array]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding_of(vocabulary).encode_ordinary
         rows, texts = [], []
         for text, edits in zip(columns[0], columns[1].to_pylist()):
             tree = CountTree(text.as_py() or "", lambda s: len(encode(s)))
@@ -167,8 +171,8 @@ def counted(docs: DataFrame, tokenizer: str = TOKENIZER, with_text: bool = False
     - Texts without hard cuts are one leaf and are encoded again as a whole; results do not depend on the leaves.
     - Columns with the names of new ones are replaced; repeated rows each get their counts; no rows give no rows.
 
-    ``tokenizer`` is the path of a ranks file that every executor has.  Rows stay where they are.
+    ``tokenizer`` is the path of a ranks file on the driver, which travels with the tasks.  Rows stay where they are.
     """
     fields = _FIELDS + ([T.StructField("text_after", T.StringType())] if with_text else [])
     kind = "array<struct<start:int,end:int,replacement:string>>"
-    return extended(docs, [F.col("text").cast("string"), F.col("edits").cast(kind)], fields, _kernel(tokenizer, with_text))
+    return extended(docs, [F.col("text").cast("string"), F.col("edits").cast(kind)], fields, _kernel(Path(tokenizer).read_bytes(), with_text))

@@ -1,9 +1,10 @@
 """WARC archives of pages, deduplicated by payload.
 
-Only headers (page, digest, size) are shuffled by payload digest to find each payload's original; the answers are
-joined back to the pages, which are then written as ``response`` or ``revisit`` records with fresh headers.  Spark's
-text sink writes the archives: a record is valid UTF-8 and its terminator is the sink's line separator, so files are
-committed task by task, to any file system that Spark reaches, and a lost executor leaves nothing half written.
+Only headers (page, digest, size) are shuffled by payload digest to find each payload's original; the answers, for
+revisits alone, are brought to the pages (broadcast up to BROADCAST_HEADS of them), which are then written as
+``response`` or ``revisit`` records with fresh headers.  Spark's text sink writes the archives: a record is valid UTF-8
+and its terminator is the sink's line separator, so files are committed task by task, to any file system that Spark
+reaches, and a lost executor leaves nothing half written.
 """
 
 from __future__ import annotations
@@ -18,17 +19,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.session import shared_folder, tidy
+from glyphmill.llm.session import checkpointed, semi_by_size, shared_folder, tidy
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 100
-#: Records in a file at most, which bounds what a reader holds of one archive.
+#: Records, and bytes of payloads, in a file at most, which bounds what a reader holds of one archive.
 FILE_RECORDS = 5_000
+FILE_BYTES = 256 << 20
+#: Headers of revisits (about 100 bytes each) that may be broadcast.
+BROADCAST_HEADS = 500_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
 
-def resolved(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+def _keyed(pages: DataFrame) -> DataFrame:
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"))
+
+
+def headers(pages: DataFrame) -> DataFrame:
+    """``page_id, payload_digest, payload_bytes`` of every page, kept in the shared folder."""
+    return checkpointed(_keyed(pages).select("page_id", "payload_digest", "payload_bytes"))
+
+
+def resolved(pages: DataFrame, least: int = LEAST_BYTES, heads: DataFrame | None = None) -> DataFrame:
     """``page_id, url, html, payload_bytes, payload_digest, copy, record_type, refers_to`` for every page.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the smallest page_id is ``response``, the
@@ -40,15 +54,31 @@ def resolved(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
       is the original, the rest revisit it.  ``copy`` numbers them from 1.
     - An empty table gives no rows; other columns are ignored.
     """
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"))
-    heads = keyed.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
-    originals = heads.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    answers = heads.distinct().join(originals, "payload_digest")
-    full = keyed.join(answers, ["page_id", "payload_digest"], "left")
-    copy = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("url"))
-    revisits = F.col("original").isNotNull() & ~((F.col("page_id") == F.col("original")) & (F.col("copy") == 1))
-    return full.withColumn("copy", copy).select("page_id", "url", "html", "payload_bytes", "payload_digest", "copy", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("original")).alias("refers_to"))
+    keyed, key = _keyed(pages), ["page_id", "payload_digest"]
+    heads = headers(pages) if heads is None else heads
+    named = heads.where(F.col("page_id").isNotNull())
+    large = named.where(F.col("payload_bytes") >= least).select(*key)
+    originals = large.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Pages that revisit another, and pages that stand in several rows: nothing else has to be told.
+    others = large.distinct().join(originals, "payload_digest").where("page_id <> original")
+    again = named.groupBy(*key).count().where("count > 1").select(*key, F.lit(True).alias("again"))
+    told = checkpointed(others.join(again, key, "full").select(*key, "original", F.coalesce("again", F.lit(False)).alias("again")))
+    full = semi_by_size(keyed, told, key, "left", BROADCAST_HEADS)
+    as_record = lambda revisits, copy: [
+        *["page_id", "url", "html", "payload_bytes", "payload_digest"],
+        copy.alias("copy"),
+        F.when(revisits, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisits, F.coalesce("original", "page_id")).alias("refers_to"),
+    ]
+    repeated = F.coalesce("again", F.lit(False)) | F.col("page_id").isNull()
+    once = full.where(~repeated).select(*as_record(F.col("original").isNotNull(), F.lit(1)))
+    if not told.where("again").limit(1).count() and not heads.where(F.col("page_id").isNull()).limit(1).count():
+        return once
+    # Only rows that repeat a page and its payload, or have no page_id, are numbered, and these are dealt by both.
+    copy = F.row_number().over(Window.partitionBy(*key).orderBy("url"))
+    many = full.where(repeated).withColumn("copy", copy)
+    is_copy = F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least) & (F.col("copy") > 1)
+    return once.union(many.select(*as_record(F.col("original").isNotNull() | is_copy, F.col("copy"))))
 
 
 def _record_id(page, copy):
@@ -79,9 +109,15 @@ def records(pages: DataFrame, date: str) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST_BYTES) -> None:
-    """Writes the pages as gzipped WARC files in the folder ``path``, which every executor must reach."""
-    out = records(resolved(pages, least), date)
-    out.write.mode("errorifexists").option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Writes the pages as gzipped WARC files in the folder ``path``, which every executor must reach.
+
+    A file has at most FILE_RECORDS records, and fewer where as many of the largest payload would pass FILE_BYTES.
+    """
+    heads = headers(pages)
+    out = records(resolved(pages, least, heads), date)
+    largest = heads.agg(F.max("payload_bytes")).first()[0] or 1
+    most = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, largest)))
+    out.write.mode("errorifexists").option("lineSep", _END + _END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

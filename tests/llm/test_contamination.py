@@ -66,3 +66,27 @@ def test_spans_go_and_others_stay(spark):
     assert got == {1: f"{rest}. ! {rest}", 3: rest, 4: None, 5: ""}
     assert C.decontaminated(docs.limit(0), bench).count() == 0
     assert C.decontaminated(docs, bench.limit(0)).count() == 5
+
+
+def test_long_texts_repeated_rows_and_several_plans(spark, monkeypatch):
+    monkeypatch.setattr(C, "SHARD_WORDS", 20)
+    monkeypatch.setattr(C, "PLAN_SHARDS", 2)
+    rng = random.Random(2)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(12)]
+    words = [f"f{rng.randint(0, 999)}" for _ in range(130_000)]  # more than one piece of 512 KB
+    for k, at in enumerate((0, 70_000, 95_321, 129_988)):
+        words[at : at + 12] = items[k][1].split()
+    rows = [(1, " ".join(words)), (2, items[5][1]), (2, items[5][1]), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = C.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == 4
+    texts = dict(rows)
+    for r in got:
+        hit = [x for a, b in zip(r.hit_words[0::2], r.hit_words[1::2]) for x in range(a, b)]
+        assert (r.n_words, hit, r.hit_items) == brute(texts[r.doc_id], items)
+
+
+def test_own_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", "h", "n", "w")], "doc_id long, text string, _hit string, n_words string, hit_words string")
+    bench = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    assert list(map(tuple, C.decontaminated(docs, bench).collect())) == [(1, "a b c", "h", "n", "w")]

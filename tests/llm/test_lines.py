@@ -84,3 +84,21 @@ def test_the_query_and_the_stage_take_short_lines(spark, sf):
     for r in docs.collect():
         left = "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in want.get(r.doc_id, []))
         assert texts.get(r.doc_id) == (left if left.split() or left == r.text else None)
+
+
+def test_both_sides_of_every_size_switch(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(lines, "FIRST", 2)
+    long = "\n".join([*(f"line {k} of a very long document with words {k % 700}" for k in range(12_000)), "w " * 300_000])
+    rows = [*fixture_rows()[:60], (700, long), (701, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = every_line([r for r in rows if r[0] != 700], 85)
+    got = sorted((d, i) for d, i in map(tuple, lines.removed_lines(docs).collect()) if d != 700)
+    # The long document's lines differ in their number and match no line of another; its last line is a set of one word.
+    assert got == sorted([*want, (701, 0)])
+    out = {r.doc_id: r for r in lines.dedup_lines(docs, least=1).collect()}
+    gone = {x for x in want}
+    for d, text in rows[:60]:
+        if d is not None and text is not None:
+            assert out[d].text == "\n".join(x for i, x in enumerate(text.split("\n")) if (d, i) not in gone)

@@ -90,3 +90,16 @@ def test_words_in_pieces(monkeypatch):
 def test_estimate_is_corrected():
     assert minhash.estimated(np.array([minhash.PERMUTATIONS]))[0] == 1
     assert abs(minhash.estimated(np.array([minhash.PERMUTATIONS / 16]))[0]) < 1e-9
+
+
+def test_both_sides_of_every_size_switch(spark, monkeypatch):
+    """Nothing is broadcast, and every key counts as hot."""
+    from glyphmill.llm import session
+
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(minhash, "PIVOT_ROWS", 1)
+    monkeypatch.setattr(session, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(session, "HOT_ROWS", 2)
+    rows = fixture_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == brute(rows)

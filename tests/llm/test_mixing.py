@@ -81,3 +81,12 @@ def test_shortage_goes_to_siblings_first(spark):
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
     assert "Python" not in mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ties_and_shuffled_leaves(spark, monkeypatch):
+    """Rows that share a doc_id are read in an order that doesn't hang on their place; leaves may be too many to broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    rows = [(i // 4, "w " * (i % 4 + 1) + f"t{i}", "en", "s") for i in range(80)] + [(500, "long " * 120_000, "en", "t"), (501, "x", "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    some = [sorted(map(tuple, mixing.mixed(docs.repartition(n, F.rand(n)), 0.3, 1).select("doc_id", "text", "epoch").collect())) for n in (1, 3, 7)]
+    assert some[0] and some[0] == some[1] == some[2]

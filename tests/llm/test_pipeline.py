@@ -83,3 +83,36 @@ def test_near_stage_links_from_80_percent(spark):
     assert want != {d for d, _, _, kept in test_minhash.brute(rows) if kept}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in P.near_stage(spark, docs, "").collect()} == want
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows = [(1, "a b c d e f"), (1, "totally other words in this one here"), (2, "TOTALLY other words in this one here"), (None, "a b c d e f"), (1, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as _number", "1 as kept").repartition(3)
+    got = P.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, "a b c d e f"), (1, rows[1][1]), (None, "a b c d e f"), (1, None), (3, "")], key=repr)
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark, sf):
+    import pyspark.sql.functions as F
+
+    names = ["n_lines", "removed_lines", "_hit", "n_words", "hit_words", "hit_items", "score", "kept", "component_id", "_row", "_line_doc", "n_shingles", "_n", "_key", "_tie"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    odd = spark.createDataFrame([(None, "null id"), (900, None), (901, ""), (902, "one line\n" * 3), (902, "one line\n" * 3), (903, "word " * 90_000)], "doc_id long, text string")
+    docs = docs.unionByName(odd.selectExpr("doc_id", "text", "'en' as lang", "'src0' as source", "cast(length(text) as int) as n_chars"), True).select(*docs.columns, *[F.lit(f"own {x}").alias(x) for x in names])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert all(r[x] == f"own {x}" for r in out.collect() for x in names), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    mixed = P.mixing_stage(spark, docs, sf)
+    assert all(r[x] == f"own {x}" for r in mixed.collect() for x in names)
+    assert P.mixing_stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_long_labelled_texts_take_part(spark):
+    rows = [(i, "good words all over " * 30 if i % 2 else "BUY!! $$$ NOW " * 12_000) for i in range(8)]
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality.scored(docs, quality.train(docs, labels)).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > 0.5 > max(s for i, s in scores.items() if not i % 2)

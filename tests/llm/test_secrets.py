@@ -65,3 +65,23 @@ def test_runs_of_one_kind_and_beside_base_spans():
     got = [(text[a:b], null) for a, b, *_, null in S.candidates(text, S.base_spans(text))]
     assert got == [(letters, False), (digits, False), (rest, False), (rest + "-", False), ("_" + letters, False), ("wordwordwordwordword", True)]
     assert S.battery(digits)[0] == "decimal" and S.battery(digits)[4] > 0.01
+
+
+def test_thresholds_are_benjamini_hochbergs():
+    rng = random.Random(3)
+    for _ in range(20):
+        null = [(0, rng.randint(0, 60), True, rng.randint(1, 50)) for _ in range(8)]
+        seen = [(0, rng.randint(0, 120), False, rng.randint(1, 9)) for _ in range(rng.randint(1, 12))]
+        fixed = S.fixed_null()[0]
+        strings = [step for step, n in enumerate(fixed) for _ in range(int(n))] + [s for _, s, _, n in null for _ in range(n)]
+        p_of = lambda step: (1 + sum(x <= step for x in strings)) / (1 + len(strings))
+        tests = sorted((p_of(s), s) for _, s, _, n in seen for _ in range(n))
+        passing = [s for i, (p, s) in enumerate(tests, 1) if p <= 0.1 * i / len(tests)]
+        got = S.thresholds([*null, *seen], 0.1)[0]
+        assert {s for _, s in tests if s <= got} == {s for p, s in tests if passing and p <= p_of(max(passing))}
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    one = spark.createDataFrame([(1, "token=abcdefgh"), (1, "token=abcdefgh")], "doc_id long, text string")
+    assert [len(r.base_spans) for r in S.scan(one).collect()] == [1, 1]
+    assert S.scan(one.limit(0)).count() == 0

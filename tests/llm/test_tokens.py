@@ -42,3 +42,19 @@ def test_rows(spark):
     assert {k: (r.text_after, r.n_edits) for k, r in got.items()} == {1: ("bye! world", 2), 2: ("", 0), 3: ("abc", 1), 4: ("new text", 1)}
     assert (got[1].n_tokens, got[1].n_tokens_after) == (2, 3) and got[2].n_tokens == 0
     assert tokens.counted(docs.limit(0)).count() == 0
+
+
+def test_the_query_against_full_encodings(spark, sf):
+    from glyphmill.llm import registry
+
+    encode = tokens.encoding(tokens.TOKENIZER).encode_ordinary
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = registry.op9_token_counts(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        after = text = texts[r.doc_id]
+        n = len(text)
+        for a, b, new in ((n // 3, n // 3, " an edit"), (n // 2, n // 2 + 20, ""), (n - 5, n + 8, "the end.")):
+            a = max(0, min(a, len(after)))
+            after = after[:a] + new + after[max(a, min(b, len(after))) :]
+        assert (r.n_tokens, r.n_tokens_after, r.n_edits) == (len(encode(text)), len(encode(after)), 3)
