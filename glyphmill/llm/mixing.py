@@ -111,7 +111,11 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str
     named = docs.drop("domain", "n_tokens", "epoch") if columns is None else docs
     keep = [c for c in named.columns] if columns is None else columns
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = named.withColumns({"_domain": default_domain() if domain is None else domain, "_lang": name("lang"), "_source": name("source"), "_n": n_tokens(F.col("text"))})
+    hashed = [F.col(f"`{f.name}`") for f in named.schema if "map<" not in f.dataType.simpleString()]
+    # Whole rows are one column, so that their names can't clash with those used here.
+    own = {"_row": F.struct(*[F.col(f"`{c}`") for c in keep]), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_tie": F.xxhash64(*hashed)}
+    own |= {"_domain": default_domain() if domain is None else domain, "_lang": name("lang"), "_source": name("source"), "_n": n_tokens(F.col("text"))}
+    rows = named.select(*[c.alias(k) for k, c in own.items()])
     leaf = ["_domain", "_lang", "_source"]
     leaves = checkpointed(rows.groupBy(*leaf).agg(F.sum("_n").alias("tokens"), F.count("*").alias("docs")).toDF(*LEVELS, "tokens", "docs"))
     plan = checkpointed(budgets(leaves, F.floor(F.lit(share) * F.col("all_tokens")), domain_weights, language_weights, source_weights, epochs).where("tokens > 0").toDF(*leaf, "_tokens", "_docs", "_budget"))
@@ -120,9 +124,7 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str
     # Epochs read as a whole, and the one that is read in part.
     epochs_of = F.sequence(F.lit(1), F.col("_whole").cast("int") + F.when(F.col("_part") > 0, 1).otherwise(0))
     placed = placed.where("_budget > 0").withColumn("epoch", F.explode(epochs_of))
-    key = order_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch"), seed)
-    hashed = [F.col(f"`{f.name}`") for f in named.schema if "map<" not in f.dataType.simpleString()]
-    placed = placed.withColumn("_tie", F.xxhash64(*hashed)).withColumn("_key", key).withColumn("_range", F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _ranges div 4294967296"))
+    placed = placed.withColumn("_key", order_key(F.col("_id"), F.col("epoch"), seed)).withColumn("_range", F.expr("cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _ranges div 4294967296"))
     whole = placed.where("epoch <= _whole")
     part = placed.where("epoch > _whole")
     sums = part.groupBy(*leaf, "_range").agg(F.sum("_n").alias("_in_range"))
@@ -130,5 +132,5 @@ def mixed(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str
     starts = sums.withColumn("_ahead", ahead - F.col("_in_range")).drop("_in_range")
     own = Window.partitionBy(*leaf, "_range").orderBy("_key", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = part.join(starts, [*leaf, "_range"]).where("_ahead <= _part").withColumn("_end", F.col("_ahead") + F.sum("_n").over(own)).where("_end <= _part")
-    out = whole.select(*[f"`{c}`" for c in keep], "_domain", "_n", "epoch").union(part.select(*[f"`{c}`" for c in keep], "_domain", "_n", "epoch"))
-    return out.withColumnsRenamed({"_domain": "domain", "_n": "n_tokens"})
+    out = whole.select("_row", "_domain", "_n", "epoch").union(part.select("_row", "_domain", "_n", "epoch"))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in keep], F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), "epoch")
