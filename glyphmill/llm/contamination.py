@@ -187,6 +187,13 @@ def _kernel(matcher: Matcher):
     return of
 
 
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """``item_id, text`` of the items that take part, and how many automata they need."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    return items, max(1, -(-total // (4 * SHARD_WORDS)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The columns of ``docs`` and ``n_words, hit_words, hit_items``, which replace columns of these names.
 
@@ -203,33 +210,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     The automaton is broadcast; its size is bounded by SHARD_WORDS, beyond which the benchmark is cut by item into
     several automata that are passed one after another, PLAN_SHARDS of them in one plan.  No item may be larger than an executor's memory.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, -(-total // (4 * SHARD_WORDS)))
+    items, shards = _items(benchmark)
     out = docs
     for shard in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect() if shards > 1 else items.collect()
         matcher = Matcher([(r.item_id, r.text) for r in rows], window)
         more = [F.col("hit_words"), F.col("hit_items")] if shard else []
-        out = extended(out, [F.col("text").cast("string"), *more], _FIELDS, _kernel(matcher))
+        out = extended(out, ["text", *more], _FIELDS, _kernel(matcher))
         if shard % PLAN_SHARDS == PLAN_SHARDS - 1 and shard < shards - 1:
             out = checkpointed(out)
     return out
 
 
-def _cut(columns: list[pa.Array]) -> list[pa.Array]:
-    out = []
-    for text, spans in zip(columns[0].to_pylist(), columns[1].to_pylist()):
-        if spans:
-            raw = text.encode()
-            found = W.words(np.frombuffer(raw, np.uint8), W.ALNUM)
-            parts, at = [], 0
-            for a, b in zip(spans[0::2], spans[1::2]):
-                parts.append(raw[at : int(found.starts[a])])
-                at = int(found.ends[b - 1])
-            text = b"".join([*parts, raw[at:]]).decode()
-        out.append(text)
-    return [pa.array(out, pa.string())]
+def _without(text: str | None, spans: list[int]) -> str | None:
+    """``text`` without its word spans, given as a flat list of starts and ends."""
+    if not spans:
+        return text
+    raw = text.encode()
+    found = W.words(np.frombuffer(raw, np.uint8), W.ALNUM)
+    parts, at = [], 0
+    for a, b in zip(spans[0::2], spans[1::2]):
+        parts.append(raw[at : int(found.starts[a])])
+        at = int(found.ends[b - 1])
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def _cut(most_words: int, most_share: float, matcher: Matcher | None = None):
+    """Texts without their hit spans, and whether a document stays; hits are found here, or come with the columns."""
+
+    def of(columns: list[pa.Array]) -> list[pa.Array]:
+        counts, spans, *_ = _kernel(matcher)(columns[:1]) if matcher else (columns[2], columns[1])
+        texts, stay = [], []
+        for text, n, found in zip(columns[0], counts.to_pylist(), spans.to_pylist()):
+            hit = sum(found[1::2]) - sum(found[0::2])
+            stay.append(hit <= min(most_words, most_share * n))
+            texts.append(_without(text.as_py(), found) if stay[-1] else None)
+        return [pa.array(texts, pa.string()), pa.array(stay, pa.bool_())]
+
+    return of
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_words: int = 1000, most_share: float = 0.5) -> DataFrame:
@@ -238,12 +256,19 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     A document goes as a whole if more than ``most_share`` of its words, or more than ``most_words`` of them, are hit.
     Others lose the hit spans (from the first word's start to the last word's end) and keep every other byte; what
     hits nothing is unchanged.  Documents without words stay.  Other columns come along, whatever their names.
+
+    A benchmark that fits one automaton is found and cut in one kernel, a larger one in several steps.
     """
-    packed = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # own names can't clash
-    found = contaminated(packed, benchmark, window)
-    left = found.where(n_hit() <= F.least(F.lit(most_words), F.lit(most_share) * F.col("n_words")))
-    cut = extended(left, [F.col("text"), F.col("hit_words")], [T.StructField("text", T.StringType())], _cut)
-    return cut.select(*[F.col("text") if c.lower() == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+    others = [c for c in docs.columns if c.lower() != "text"]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<_:int>")
+    packed = docs.select(F.col("text").cast("string").alias("text"), row.alias("_row"))  # own names can't clash
+    fields = [T.StructField("text", T.StringType()), T.StructField("_stay", T.BooleanType())]
+    items, shards = _items(benchmark)
+    if shards == 1:
+        cut = extended(packed, ["text"], fields, _cut(most_words, most_share, Matcher([tuple(r) for r in items.collect()], window)))
+    else:
+        cut = extended(contaminated(packed, benchmark, window), ["text", F.col("hit_words"), F.col("n_words")], fields, _cut(most_words, most_share))
+    return cut.where("_stay").select(*[F.col("text").alias(c) if c.lower() == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def n_hit():

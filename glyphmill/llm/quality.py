@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    got = extended(chosen, [F.col("text")], [T.StructField("bag", T.BinaryType())], _bag_kernel).select("doc_id", "quality", "bag").collect()
+    got = extended(chosen, ["text"], [T.StructField("bag", T.BinaryType())], _bag_kernel, drop=("text",)).select("doc_id", "quality", "bag").collect()
     got.sort(key=lambda r: (r.doc_id, r.bag))
     y = np.array([r.quality for r in got], dtype=np.float64)
     if len(set(y)) < 2:
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     Null and empty texts are one empty passage and get its score.  Without a model every score is 0.5.  Equal texts
     have equal scores; an empty table gives no rows.
     """
-    return extended(docs, [F.col("text").cast("string")], [T.StructField("score", T.DoubleType())], _score_kernel(model))
+    return extended(docs, ["text"], [T.StructField("score", T.DoubleType())], _score_kernel(model))
 
 
 def held_out(doc_id):

@@ -206,7 +206,7 @@ def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     The text's findings are checkpointed, so texts are read once; what reaches the driver is a table of at most
     2 * (STEPS + 1) * (len(LENGTHS) + 1) counts.
     """
-    seen = checkpointed(extended(docs, [F.col("text").cast("string")], [T.StructField("base_spans", _SPAN), T.StructField("found", _CANDIDATE)], _kernel).drop("text"))
+    seen = checkpointed(extended(docs, ["text"], [T.StructField("base_spans", _SPAN), T.StructField("found", _CANDIDATE)], _kernel, drop=("text",)))
     counts = seen.select(F.explode("found").alias("f")).groupBy("f.length_class", "f.step", "f.null_word").count().collect()
     last = thresholds([tuple(r) for r in counts], rate)
     table = F.array(*[F.lit(last[c]) for c in range(len(LENGTHS) + 1)])

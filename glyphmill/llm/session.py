@@ -126,22 +126,28 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | No
     return dealt.join(spread, [key, "_salt"]).drop("_salt")
 
 
-def extended(docs: DataFrame, inputs: list, fields: list[T.StructField], kernel: Callable[[list[pa.Array]], list[pa.Array]], keep: bool = True) -> DataFrame:
-    """All columns of ``docs`` (unless not ``keep``) and the ``fields`` that ``kernel`` makes from the ``inputs`` of a batch.
+def extended(docs: DataFrame, inputs: list, fields: list[T.StructField], kernel: Callable[[list[pa.Array]], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """All columns of ``docs`` but ``drop``, and the ``fields`` that ``kernel`` makes from the ``inputs`` of a batch.
 
-    Columns of ``docs`` with the names of new fields are replaced.  Rows stay where they are: nothing is shuffled.
+    Inputs are columns as strings go, by name; what is kept and read as well travels once.  Columns of ``docs`` with the
+    names of new fields are replaced.  Rows stay where they are: nothing is shuffled.
     """
     bounded_batches(docs.sparkSession)
-    names = {f.name.lower() for f in fields}
-    kept = [c for c in docs.columns if c.lower() not in names] if keep else []
+    names = {f.name.lower() for f in fields} | set(drop)
+    kept = [c for c in docs.columns if c.lower() not in names]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(0).alias("_"))
-    given = docs.select(row.alias("_row"), *[x.alias(f"_in{i}") for i, x in enumerate(inputs)])
-
-    n, labels = len(inputs), ["_row", *[f.name for f in fields]]
+    shared = lambda x: isinstance(x, str) and x in kept and docs.schema[x].dataType == T.StringType()
+    more = [F.col(f"`{x}`").cast("string") if isinstance(x, str) else x for x in inputs if not shared(x)]
+    given = docs.select(row.alias("_row"), *[x.alias(f"_in{i}") for i, x in enumerate(more)])
+    order, at = [], 0
+    for x in inputs:
+        order.append((0, kept.index(x)) if shared(x) else (1, at))
+        at += not shared(x)
+    labels = ["_row", *[f.name for f in fields]]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = kernel([batch.column(1 + i) for i in range(n)])
+            made = kernel([batch.column(1 + i) if own else batch.column(0).field(i) for own, i in order])
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], labels)
 
     out = given.mapInArrow(tidy(of), T.StructType([given.schema["_row"], *fields]))

@@ -175,4 +175,4 @@ def counted(docs: DataFrame, tokenizer: str = TOKENIZER, with_text: bool = False
     """
     fields = _FIELDS + ([T.StructField("text_after", T.StringType())] if with_text else [])
     kind = "array<struct<start:int,end:int,replacement:string>>"
-    return extended(docs, [F.col("text").cast("string"), F.col("edits").cast(kind)], fields, _kernel(Path(tokenizer).read_bytes(), with_text))
+    return extended(docs, ["text", F.col("edits").cast(kind)], fields, _kernel(Path(tokenizer).read_bytes(), with_text))
