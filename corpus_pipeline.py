@@ -16,20 +16,22 @@ NEAR = 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` and whole rows as one column, so that other columns may have any names."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """``doc_id, text`` and all else of a row as one column, so that other columns may have any names."""
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
 
 
-def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` out of ``_row``, with ``text``, and ``n_chars`` as the text now is."""
-    of = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+def _unpacked(out: DataFrame, docs: DataFrame, recount: bool = False) -> DataFrame:
+    """The columns of ``docs`` again; with ``recount``, ``n_chars`` as the text now is."""
+    of = {"text": F.col("text")}
+    if recount and "n_chars" in docs.columns:
+        of["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return out.select(*[(of[c] if c in of else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.5) go.  Null and empty texts are scored as such; no rows give none."""
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~quality.held_out("doc_id")))
-    return quality.scored(_packed(docs), model).where("score >= 0.5").select("_row.*")
+    return _unpacked(quality.scored(_packed(docs), model).where("score >= 0.5"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = lines.dedup_lines(_packed(docs), least=lines.MIN_WORDS)
     emptied = (F.size("removed_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return _as_documents(out.where(~emptied), docs)
+    return _unpacked(out.where(~emptied), docs, True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +59,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = checkpointed(once.withColumn("_number", F.monotonically_increasing_id()))
     found = minhash.near_duplicates(rows.select(F.col("_number").alias("doc_id"), "text"), NEAR)
     gone = checkpointed(found.where("not kept").select(F.col("doc_id").alias("_number")).distinct())
-    left = semi_by_size(rows, gone, "_number", "left_anti", minhash.BROADCAST_ROWS).select("_row.*")
+    left = semi_by_size(rows, gone, "_number", "left_anti", minhash.BROADCAST_ROWS)
+    left = _unpacked(left, docs)
     return left.union(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that mostly consist of them go.  Documents without words stay."""
-    return _as_documents(contamination.decontaminated(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
+    return _unpacked(contamination.decontaminated(_packed(docs), table(spark, sf_dir, "benchmark")), docs, True)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
