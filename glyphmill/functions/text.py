@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions import kernels as K
+
 #: Ideographs (Bopomofo, extensions, compatibility), without the iteration mark and the zero sign.
 IDEOGRAPH = r"\x{3100}-\x{312F}\x{31A0}-\x{31BF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 #: Characters that only one of the two scripts uses.
@@ -13,16 +15,9 @@ TRADITIONAL_ONLY = "們個這來時國說還對會過麼為發開關現經動東
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Array of ``(start, end, found)`` of the leftmost non-overlapping matches, by position sums over gaps and matches."""
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda f, g: F.struct(F.coalesce(g, F.lit(0)).alias("gap"), F.coalesce(f, F.lit("")).alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["found"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["found"])).alias("end"), x["found"].alias("found")))).alias("out"),
-    )
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    """Array of ``(start, end, found)`` of the leftmost non-overlapping matches, in one pass over the text."""
+    kind = "array<struct<start:int,end:int,found:string>>"
+    return K.column(lambda t: [{"start": m.start(), "end": m.end(), "found": m[0]} for m in K.compiled(pattern).finditer(t)], kind, text)
 
 
 def count_of(text: Column, characters: str) -> Column:
@@ -36,6 +31,12 @@ def script(text: Column) -> Column:
     return F.when(F.trim(text) == "", "unknown").when(simple > full, "simplified").when(full > simple, "traditional").otherwise("unknown")
 
 
+def is_simplified(text: str) -> bool:
+    """``script`` of one text, in a kernel."""
+    simple, full = (sum(text.count(c) for c in chars) for chars in (SIMPLIFIED_ONLY, TRADITIONAL_ONLY))
+    return simple > full
+
+
 def to_traditional(text: Column) -> Column:
     """Character-wise conversion; characters with more than one traditional form stay."""
     return F.translate(text, SIMPLIFIED_ONLY, TRADITIONAL_ONLY)
@@ -76,7 +77,3 @@ def longest_chain(clause: Column, sign: str) -> Column:
     """The most occurrences of ``sign`` in a stretch without clause breaks."""
     counts = F.transform(F.split(clause, "[，、。；：！？,;:!?\n]", -1), lambda c: F.length(c) - F.length(F.translate(c, sign, "")))
     return F.array_max(counts)
-
-
-def word_starts(text: Column) -> Column:
-    return F.split(text, r"[^A-Za-z0-9]+", -1)

@@ -1,69 +1,75 @@
-"""Detectors over a table of characters: neighbours by windows within a document."""
+"""Detectors of single characters and their neighbours, in one pass over each text and within its row.
+
+``pos`` counts code points.  Null and empty texts have no findings; rows that share a doc_id are separate texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 
+from glyphmill.functions import kernels as K
 from glyphmill.functions import text as X
+from glyphmill.operators import quotes as Q
 
-_CJK = f"^[{X.IDEOGRAPH}]$"
-_FULL = "^[，。！？；：、（）「」『』《》…—]$"
+_FULL = "，。！？；：、（）「」『』《》…—"
+_GAP = K.compiled(f"(?<=[{X.IDEOGRAPH}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{X.IDEOGRAPH}])")
+_RUN = re.compile(f"([{_FULL}])\\1+")
+_RANGE = K.compiled(f"(?<=[{X.IDEOGRAPH}])~(?=[0-9{X.IDEOGRAPH}])|(?<=[0-9])~(?=[{X.IDEOGRAPH}])|(?<=[{X.IDEOGRAPH}])-(?=[{X.IDEOGRAPH}])")
+_UNIT = K.compiled(f"(?=([{X.IDEOGRAPH}]{{3}})\\1)|(?=([{X.IDEOGRAPH}]{{2}})\\2)")
+_SINGLE = K.compiled(f"([{X.IDEOGRAPH}])\\1")
+#: Doubled characters that are words; a few, which callers may replace.
+DOUBLED = ["謝謝", "爸爸", "媽媽", "哥哥", "姐姐", "弟弟", "妹妹", "爺爺", "奶奶", "常常", "剛剛", "慢慢", "漸漸", "人人", "天天", "年年", "看看", "想想", "試試", "哈哈", "呵呵", "星星", "寶寶", "漂漂", "僅僅", "偏偏", "往往", "處處", "默默", "深深"]
 
 
-def characters(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, ch`` of all characters."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
+def missing_spaces(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos``: zero-length places between an ideograph and an ASCII letter or digit."""
+    return K.found(docs, lambda t: ((m.start(),) for m in _GAP.finditer(t)), "pos int", where=f"[{X.IDEOGRAPH}]")
 
 
-def _by():
-    return Window.partitionBy("doc_id").orderBy("pos")
+def half_width_marks(docs: DataFrame, mask: str | None = None) -> DataFrame:
+    """``doc_id, pos, found, suggestion``: ASCII marks that the Chinese around them owns (``quotes.half_width``)."""
+    return Q.marks(docs, Q.half_width, mask)
 
 
-def missing_spaces(chars: DataFrame) -> DataFrame:
-    """``doc_id, pos``: zero-length places between an ideograph and an ASCII letter or digit."""
-    after = F.lead("ch").over(_by())
-    cjk, latin = lambda c: c.rlike(_CJK), lambda c: c.rlike("^[A-Za-z0-9]$")
-    return chars.withColumn("after", after).where((cjk(F.col("ch")) & latin(F.col("after"))) | (latin(F.col("ch")) & cjk(F.col("after")))).select("doc_id", (F.col("pos") + 1).alias("pos"))
+def repeated_marks(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, found``: runs of one full-width mark; the ellipsis and the dash may come twice."""
 
+    def of(text: str) -> Iterator[tuple[int, str]]:
+        for m in _RUN.finditer(text):
+            if not (m[1] in "…—" and len(m[0]) == 2):
+                yield m.start(), m[0]
 
-def half_width_marks(chars: DataFrame) -> DataFrame:
-    """``doc_id, pos, found, suggestion``: ASCII marks beside an ideograph, white space apart; no commas between digits."""
-    by = _by()
-    solid = F.when(~F.col("ch").rlike(r"^\s$"), F.col("ch"))
-    before = F.last(solid, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(solid, ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-    near = chars.withColumns({"before": before, "after": after, "left": F.lag("ch").over(by), "right": F.lead("ch").over(by)})
-    digits = F.coalesce(F.col("left").rlike("^[0-9]$"), F.lit(False)) & F.coalesce(F.col("right").rlike("^[0-9]$"), F.lit(False))
-    cjk = lambda c: F.coalesce(F.col(c).rlike(_CJK), F.lit(False))
-    marks = near.where(F.col("ch").isin(",", "!", "?", ";") & (cjk("before") | cjk("after")) & ~((F.col("ch") == ",") & digits))
-    return marks.select("doc_id", "pos", F.col("ch").alias("found"), F.translate("ch", ",!?;", "，！？；").alias("suggestion"))
+    return K.found(docs, of, "pos int, found string", where=f"[{_FULL}]")
 
 
-def repeated_marks(chars: DataFrame) -> DataFrame:
-    """``doc_id, pos, found``: runs of one full-width mark; the ellipsis and the dash may come twice."""
-    changed = F.when(F.lag("ch").over(_by()) == F.col("ch"), 0).otherwise(1)
-    runs = chars.withColumn("run", F.sum(F.coalesce(changed, F.lit(1))).over(_by()))
-    runs = runs.groupBy("doc_id", "run", "ch").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-    return runs.where(F.col("ch").rlike(_FULL) & (F.col("n") > F.when(F.col("ch").isin("…", "—"), 2).otherwise(1))).select("doc_id", "pos", F.repeat("ch", F.col("n").cast("int")).alias("found"))
+def ranges(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, found``: ~ between digits or ideographs with at least one ideograph; - between two ideographs."""
+    return K.found(docs, lambda t: ((m.start(), m[0]) for m in _RANGE.finditer(t)), "pos int, found string", where="[~-]")
 
 
-def ranges(chars: DataFrame) -> DataFrame:
-    """``doc_id, pos, found``: ~ between digits or ideographs with at least one ideograph; - between two ideographs."""
-    by = _by()
-    near = chars.withColumns({"left": F.lag("ch").over(by), "right": F.lead("ch").over(by)})
-    cjk = lambda c: F.coalesce(F.col(c).rlike(_CJK), F.lit(False))
-    side = lambda c: F.coalesce(F.col(c).rlike(f"^[0-9{X.IDEOGRAPH}]$"), F.lit(False))
-    tilde = (F.col("ch") == "~") & side("left") & side("right") & (cjk("left") | cjk("right"))
-    return near.where(tilde | ((F.col("ch") == "-") & cjk("left") & cjk("right"))).select("doc_id", "pos", F.col("ch").alias("found"))
-
-
-def repeated_units(chars: DataFrame) -> DataFrame:
-    """``doc_id, pos, unit``: two or three ideographs that follow themselves at once."""
-    by = _by()
-    ahead = chars.withColumns({f"c{k}": F.lead("ch", k).over(by) for k in range(1, 6)})
-    three = F.concat("ch", "c1", "c2")
-    two = F.concat("ch", "c1")
-    cjk3, cjk2 = three.rlike(f"^[{X.IDEOGRAPH}]{{3}}$"), two.rlike(f"^[{X.IDEOGRAPH}]{{2}}$")
-    unit = F.when(cjk3 & (three == F.concat("c3", "c4", "c5")), three).when(cjk2 & (two == F.concat("c2", "c3")) & (F.col("ch") != F.col("c1")), two)
-    return ahead.withColumn("unit", unit).where("unit is not null").select("doc_id", "pos", "unit")
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, unit``: two or three ideographs that follow themselves at once, three before two."""
+
+    def of(text: str) -> Iterator[tuple[int, str]]:
+        for m in _UNIT.finditer(text):
+            unit = m[1] or m[2]
+            if len(unit) == 3 or unit[0] != unit[1]:
+                yield m.start(), unit
+
+    return K.found(docs, of, "pos int, unit string", where=f"[{X.IDEOGRAPH}]{{4}}")
+
+
+def doubled_characters(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """``doc_id, pos, found``: an ideograph written twice, not within a longer run of it, and no word of its own."""
+    known = set(DOUBLED if words is None else words)
+
+    def of(text: str) -> Iterator[tuple[int, str]]:
+        for m in _SINGLE.finditer(text):
+            a, b = m.span()
+            if m[0] not in known and text[a - 1 : a] != m[1] and text[b : b + 1] != m[1]:
+                yield a, m[0]
+
+    return K.found(docs, of, "pos int, found string", where=f"[{X.IDEOGRAPH}]{{2}}")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions import text as X
 from glyphmill.operators import lexical as L
 
 
@@ -43,19 +42,22 @@ def with_glossary(issues: DataFrame, glossary: DataFrame, docs: DataFrame | None
 
 
 def _with_banned(issues: DataFrame, docs: DataFrame, banned: list[str]) -> DataFrame:
-    spark = docs.sparkSession
+    # Places of every banned term by itself: one may lie in another.
+    spots = None
     for term in banned:
-        spots = L.hits(docs, spark.createDataFrame([(term,)], "`from` string")).select("doc_id", F.col("pos").alias("_at"))
-        holds = (F.col("pos") <= F.col("_at")) & (F.col("_at") + len(term) <= F.col("pos") + F.length("found"))
-        over = spots.join(issues, "doc_id").where(holds).groupBy("doc_id", "_at").agg(F.min(F.struct("pos", "found")).alias("_of"))
-        raised = over.select("doc_id", "_of.pos", "_of.found").distinct().withColumn("_raised", F.lit(True))
-        new = spots.join(over, ["doc_id", "_at"], "left_anti").join(docs.select("doc_id", "text"), "doc_id")
-        text, at = F.col("text"), F.col("_at")
-        made = {"pos": at, "byte_offset": X.byte_offset(text, at), "line": X.line_of(text, at), "col": X.column_of(text, at), "found": F.lit(term), "suggestions": F.array(), "rule_type": F.lit("cross_strait"), "severity": F.lit("error")}
-        added = new.select(*[(F.col(f.name) if f.name == "doc_id" else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in issues.schema])
-        kept = issues.join(raised, ["doc_id", "pos", "found"], "left").withColumn("severity", F.when(F.col("_raised"), "error").otherwise(F.col("severity")))
-        issues = kept.select(*issues.columns).union(added)
-    return issues
+        own = L.hits(docs, [term])
+        spots = own if spots is None else spots.union(own)
+    if spots is None:
+        return issues
+    spots = spots.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("pos", "byte_offset", "line", "col", "found")])
+    holds = (F.col("pos") <= F.col("_pos")) & (F.col("_pos") + F.length("_found") <= F.col("pos") + F.length("found"))
+    over = spots.join(issues, "doc_id").where(holds).groupBy("doc_id", "_pos", "_found").agg(F.min(F.struct("pos", "found")).alias("_of"))
+    raised = over.select("doc_id", "_of.pos", "_of.found").distinct().withColumn("_raised", F.lit(True))
+    new = spots.join(over, ["doc_id", "_pos", "_found"], "left_anti")
+    made = {**{c: F.col(f"_{c}") for c in ("pos", "byte_offset", "line", "col", "found")}, "size": F.length("_found"), "suggestions": F.array(), "clues": F.array(), "rule_type": F.lit("cross_strait"), "severity": F.lit("error")}
+    added = new.select(*[(F.col(f.name) if f.name == "doc_id" else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in issues.schema])
+    kept = issues.join(raised, ["doc_id", "pos", "found"], "left").withColumn("severity", F.when(F.col("_raised"), "error").otherwise(F.col("severity")))
+    return kept.select(*issues.columns).union(added)
 
 
 def fingerprint():
@@ -80,7 +82,7 @@ def gate(issues: DataFrame, max_errors: int, max_warnings: int) -> DataFrame:
 
 
 def grouped(issues: DataFrame) -> DataFrame:
-    """Equal findings with their count and places, and the places in short form where all share a column."""
+    """Equal findings over all documents: their count, in how many documents, their first line, and how many columns."""
     key = ["found", "rule_type", "severity", F.array_join("suggestions", "/").alias("suggestion")]
     groups = issues.groupBy(*key).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("line").alias("first_line"), F.countDistinct("col").alias("n_cols"))
     return groups
@@ -105,6 +107,35 @@ def regional_density(docs: DataFrame, issues: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.least(F.lit(1.0), 1000.0 * F.coalesce("n", F.lit(0)) / F.greatest("chars", F.lit(1))).alias("density"))
 
 
+def rates(cases: DataFrame, expected: DataFrame, predicted: DataFrame, fixes: DataFrame | None = None) -> DataFrame:
+    """One row over a corpus: precision, recall, false-positive rate and safe-fix rate, by case and by weight.
+
+    ``cases(id, clean, weight)``; ``expected, predicted (id, key)`` name findings; ``fixes(id, right)`` tells of each case
+    that was fixed whether the result is right.  A case is a false positive if it is clean and something is predicted.
+    """
+    both = expected.select("id", "key", F.lit(1).alias("e")).distinct().join(predicted.select("id", "key", F.lit(1).alias("p")).distinct(), ["id", "key"], "full")
+    by_case = both.groupBy("id").agg(F.count_if((F.col("e") == 1) & (F.col("p") == 1)).alias("tp"), F.count_if(F.col("e").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    rows = cases.select("id", "clean", F.col("weight").cast("double").alias("w")).join(by_case, "id", "left").na.fill(0, ["tp", "fp", "fn"])
+    if fixes is not None:
+        rows = rows.join(fixes.groupBy("id").agg(F.min(F.col("right").cast("int")).alias("right")), "id", "left")
+    else:
+        rows = rows.withColumn("right", F.lit(None).cast("int"))
+    total = lambda c: F.sum(c)
+    weigh = lambda c: F.sum(F.col("w") * c)
+    wrong = (F.col("clean") & (F.col("fp") > 0)).cast("int")
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    clean = F.col("clean").cast("int")
+    return rows.agg(
+        share(total("tp"), total("tp") + total("fp")).alias("precision"),
+        share(total("tp"), total("tp") + total("fn")).alias("recall"),
+        share(weigh(F.col("tp")), weigh(F.col("tp")) + weigh(F.col("fp"))).alias("weighted_precision"),
+        share(weigh(F.col("tp")), weigh(F.col("tp")) + weigh(F.col("fn"))).alias("weighted_recall"),
+        share(total(wrong), total(clean)).alias("false_positive_rate"),
+        share(weigh(wrong), weigh(clean)).alias("weighted_false_positive_rate"),
+        share(total("right"), F.count("right")).alias("safe_fix_rate"),
+    )
+
+
 def precision_recall(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: true positives, precision and recall of ``(id)`` sets."""
     both = expected.select("id", F.lit(1).alias("e")).join(predicted.select("id", F.lit(1).alias("p")), "id", "full")

@@ -7,12 +7,16 @@ null or empty have no findings.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions import kernels as K
 from glyphmill.functions import text as X
+from glyphmill.operators import lexical as L
 
 #: Characters of a sentence and of a clause, and ideographs.
 S = r"[^。？！?!\n]"
@@ -130,53 +134,73 @@ def formal(text: Column, anchors: list[str] | None = None, ending: list[str] | N
     return F.coalesce(text.rlike(anywhere) | F.substring(text, 1, 100).rlike(f"{left}{any_of(CONTRACTS)}"), F.lit(False))
 
 
-def _findings(text: Column, p: Pattern) -> Column:
-    def fits(s: Column) -> Column:
-        reach = F.lit(p.reach)
-        before = F.substring(text, F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], reach))
-        after = F.substring(text, s["end"] + 1, reach)
-        ok = F.length(s["found"]) >= p.least
-        for pattern, where, wanted in [(p.before, before, True), (p.no_before, before, False), (p.after, after, True), (p.no_after, after, False), (p.no_found, s["found"], False)]:
-            if pattern:
-                ok = ok & (where.rlike(pattern) == F.lit(wanted))
-        if p.near:
-            around = F.substring(text, F.greatest(s["start"] - 26, F.lit(0)) + 1, s["end"] + 26 - F.greatest(s["start"] - 26, F.lit(0)))
-            ok = ok & around.rlike(p.near)
-        return ok
-
-    def row(s: Column) -> Column:
-        if p.replaced:
-            new = F.regexp_replace(s["found"], p.pattern, p.replaced)
-        elif p.swap_from:
-            new = F.replace(s["found"], F.lit(p.swap_from), F.lit(p.swap_to))
-        else:
-            new = F.lit(None).cast("string")
-        values = {"detector": F.lit(p.detector), "rule_type": F.lit(p.kind), "severity": F.lit(p.severity), "pos": s["start"], "found": s["found"], "suggestion": new}
-        return F.struct(*[v.alias(k) for k, v in values.items()])
-
-    # most texts have no match, and are spared the positions
-    return F.when(text.rlike(p.pattern), F.transform(F.filter(X.spans(text, p.pattern), fits), row))
-
-
-def findings(docs: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:
-    """``doc_id, detector, rule_type, severity, pos, found, suggestion`` of all patterns, in one pass without a shuffle."""
-    text = F.col("text")
-    chosen = PATTERNS if patterns is None else patterns
-    empty = F.array().cast("array<struct<detector:string,rule_type:string,severity:string,pos:int,found:string,suggestion:string>>")
-    casual = ~formal(text)
-    each = [F.coalesce(F.when(casual, _findings(text, p)) if p.casual_only else _findings(text, p), empty) for p in chosen]
-    return docs.select("doc_id", F.explode(F.concat(*each)).alias("x")).select("doc_id", "x.*")
+class Compiled:
+    """A pattern and its guards, ready for texts."""
+
+    def __init__(self, p: Pattern):
+        self.p, self.pattern = p, K.compiled(p.pattern)
+        self.guards = [(K.compiled(x), side, wanted) for x, side, wanted in ((p.before, -1, True), (p.no_before, -1, False), (p.after, 1, True), (p.no_after, 1, False), (p.no_found, 0, False)) if x]
+        self.near = K.compiled(p.near) if p.near else None
+        self.template = p.replaced.replace("$", "\\")
+
+    def findings(self, text: str, mask: list[L.Span]) -> Iterator[tuple]:
+        p = self.p
+        for m in self.pattern.finditer(text):
+            start, end = m.span()
+            if end - start < p.least or L.overlaps(mask, start, end):
+                continue
+            sides = {-1: text[max(0, start - p.reach) : start], 0: m[0], 1: text[end : end + p.reach]}
+            if any((guard.search(sides[side]) is not None) != wanted for guard, side, wanted in self.guards):
+                continue
+            if self.near and not self.near.search(text, max(0, start - 26), end + 26):
+                continue
+            new = m.expand(self.template) if p.replaced else m[0].replace(p.swap_from, p.swap_to) if p.swap_from else None
+            yield p.detector, p.kind, p.severity, start, m[0], new
+
+
+FINDING = "detector string, rule_type string, severity string, pos int, found string, suggestion string"
+
+
+def findings(docs: DataFrame, patterns: list[Pattern] | None = None, mask: str | None = None) -> DataFrame:
+    """``doc_id`` and the columns of FINDING of all patterns, in one pass and within the row.
+
+    ``mask`` names a column of spans that no finding may touch.  Formal texts are spared the casual patterns.
+    """
+    compiled = [Compiled(p) for p in (PATTERNS if patterns is None else patterns)]
+
+    def of(text: str, spans: list[dict] | None = None) -> list[tuple]:
+        held, formal_text = L.pairs(spans), None
+        out = []
+        for c in compiled:
+            found = list(c.findings(text, held))
+            if found and c.p.casual_only:
+                formal_text = is_formal(text) if formal_text is None else formal_text
+                found = [] if formal_text else found
+            out += found
+        return out
+
+    return K.found(docs, of, FINDING, inputs=("text", mask) if mask else ("text",), where=f"[{X.IDEOGRAPH}]")
+
+
+_FORMAL_LEFT = rf"(?:^|[^A-Za-z0-9{X.IDEOGRAPH}])"
+
+
+def is_formal(text: str) -> bool:
+    """``formal`` of one text, in a kernel."""
+    anywhere = K.compiled(f"{_FORMAL_LEFT}(?:{'|'.join(FORMAL)}|(?:{'|'.join(FORMAL_ENDING)})(?:[^{X.IDEOGRAPH}]|$))")
+    return anywhere.search(text) is not None or K.compiled(f"{_FORMAL_LEFT}{any_of(CONTRACTS)}").search(text[:100]) is not None
 
 
 def false_friends(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, found``: translated adverbs that share a clause with another of their kind."""
-    spans = X.spans(F.col("text"), any_of(FALSE_FRIENDS))
-    hits = docs.where(F.col("text").rlike(any_of(FALSE_FRIENDS))).select("doc_id", "text", F.explode(spans).alias("s"))
-    before = F.substring(F.col("text"), F.lit(1), F.col("s.start"))
-    clause = F.length(before) - F.length(F.regexp_replace(before, r"[，,。；\n]", ""))
-    placed = hits.select("doc_id", F.col("s.start").alias("pos"), F.col("s.found").alias("found"), clause.alias("clause"))
-    many = placed.groupBy("doc_id", "clause").agg(F.collect_list(F.struct("pos", "found")).alias("all")).where(F.size("all") >= 2)
-    return many.select("doc_id", F.explode("all").alias("x")).select("doc_id", "x.pos", "x.found")
+    terms, breaks = K.compiled(any_of(FALSE_FRIENDS)), K.compiled(r"[，,。；\n]")
+
+    def of(text: str) -> list[tuple[int, str]]:
+        hits, cuts = [m for m in terms.finditer(text)], [m.start() for m in breaks.finditer(text)]
+        clause = [bisect_left(cuts, m.start()) for m in hits]
+        return [(m.start(), m[0]) for m, c in zip(hits, clause) if clause.count(c) >= 2]
+
+    return K.found(docs, of, "pos int, found string", where=any_of(FALSE_FRIENDS))
 
 
 def pattern_rows() -> list[tuple]:

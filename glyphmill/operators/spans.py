@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from glyphmill.functions import kernels as K
 from glyphmill.functions import text as X
+from glyphmill.sources import sinks
 
 _FULL = "，。！？；：、（）「」『』《》"
 
@@ -19,35 +21,56 @@ def resolved(issues: DataFrame) -> DataFrame:
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     row = F.struct((-F.length("found")).alias("_size"), rank.alias("_rank"), "pos", *[F.col(c) for c in issues.columns if c not in ("doc_id", "pos")])
     grouped = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    kind = grouped.schema["all"].dataType.simpleString()
-    clash = lambda a, b: (a["pos"] < b["pos"] - b["_size"]) & (b["pos"] < a["pos"] - a["_size"])
-    keep = F.aggregate("all", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return grouped.select("doc_id", F.explode(keep).alias("x")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"x.{c}") for c in issues.columns])
+
+    def kept(sizes: list[int], places: list[int]) -> list[int]:
+        """Numbers of the rows that stay, of rows in the order of precedence."""
+        taken: list[tuple[int, int]] = []  # disjoint, by start
+        out = []
+        for i, (size, pos) in enumerate(zip(sizes, places)):
+            a, b = pos, pos - size
+            k = bisect_left(taken, (a, a))
+            # Empty spans clash only with what they lie strictly inside of.
+            clash = k > 0 and a < taken[k - 1][1]
+            j = k
+            while not clash and j < len(taken) and taken[j][0] < b:
+                clash = a < taken[j][1]
+                j += 1
+            if not clash:
+                taken.insert(k, (a, b))
+                out.append(i)
+        return out
+
+    stay = K.column(kept, "array<int>", F.transform("all", lambda x: x["_size"]), F.transform("all", lambda x: x["pos"]))
+    left = grouped.withColumn("_stay", stay).select("doc_id", F.explode(F.transform("_stay", lambda i: F.get(F.col("all"), i))).alias("x"))
+    return left.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"x.{c}") for c in issues.columns])
+
+
+def _bracket_problems(text: str) -> list[tuple[int, str, str]]:
+    out, stack = [], []
+    for m in _BRACKETS.finditer(text):
+        sign, pos = m[0], m.start()
+        if sign.startswith("\n"):
+            out += [(p, s, "unclosed") for p, s in stack]
+            stack = []
+        elif sign in "「『《":
+            stack.append((pos, sign))
+        elif not stack:
+            out.append((pos, sign, "unmatched"))
+        elif stack[-1][1] != "「『《"["」』》".index(sign)]:
+            out.append((pos, sign, "interleaved"))
+        else:
+            stack.pop()
+            if sign == "』" and all(s != "「" for _, s in stack):
+                out.append((pos, sign, "outermost"))
+    return out + [(p, s, "unclosed") for p, s in stack]
+
+
+_BRACKETS = re.compile(r"[「」『』《》]|\n[ \t\r]*\n")
 
 
 def bracket_problems(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, found, problem`` (unclosed, unmatched, interleaved, outermost) of brackets, paragraph by paragraph."""
-    tokens = F.concat(X.spans(F.col("text"), r"[「」『』《》]|\n[ \t\r]*\n"), F.array(F.struct(F.length("text").alias("start"), F.length("text").alias("end"), F.lit("\n\n").alias("found"))))
-    start = F.struct(F.array().cast("array<struct<pos:int,found:string>>").alias("stack"), F.array().cast("array<struct<pos:int,found:string,problem:string>>").alias("out"))
-
-    def step(acc, t):
-        stack, out = acc["stack"], acc["out"]
-        own = F.struct(t["start"].alias("pos"), t["found"].alias("found"))
-        report = lambda problem: F.concat(out, F.array(F.struct(t["start"].alias("pos"), t["found"].alias("found"), F.lit(problem).alias("problem"))))
-        unclosed = F.concat(out, F.transform(stack, lambda s: F.struct(s["pos"].alias("pos"), s["found"].alias("found"), F.lit("unclosed").alias("problem"))))
-        top = F.get(stack, F.size(stack) - 1)["found"]
-        fits = F.coalesce(top == F.translate(t["found"], "」』》", "「『《"), F.lit(False))
-        rest = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
-        outermost = (t["found"] == "』") & ~F.exists(rest, lambda s: s["found"] == "「")
-        empty = F.array().cast("array<struct<pos:int,found:string>>")
-        opens, breaks = t["found"].isin("「", "『", "《"), t["found"].startswith("\n")
-        return F.struct(
-            F.when(breaks, empty).when(opens, F.concat(stack, F.array(own))).when(fits, rest).otherwise(stack).alias("stack"),
-            F.when(breaks, unclosed).when(opens, out).when(fits & outermost, report("outermost")).when(fits, out).when(F.size(stack) > 0, report("interleaved")).otherwise(report("unmatched")).alias("out"),
-        )
-
-    found = F.aggregate(tokens, start, step, lambda acc: acc["out"])
-    return docs.where(F.col("text").rlike("[「」『』《》]")).select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    return K.found(docs, _bracket_problems, "pos int, found string, problem string", where="[「」『』《》]")
 
 
 def unwanted_spaces(docs: DataFrame) -> DataFrame:
@@ -77,18 +100,14 @@ def case_issues(docs: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
 
 
 def nfc(text: Column | str) -> Column:
-    """Canonical composition, for which there is no column function."""
-
-    def composed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-    return F.pandas_udf(composed, T.StringType())(text)
+    """Canonical composition; texts of ASCII alone, which are composed, never leave the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(r"[^\x00-\x7F]"), K.column(lambda t: unicodedata.normalize("NFC", t), "string", text)).otherwise(text)
 
 
 def compact_lines(issues: DataFrame) -> DataFrame:
     """``doc_id, report``: one line for each group of equal findings of a document, with all its places."""
-    shown = F.when(F.size("suggestions") == 0, "(delete)").when(F.size("suggestions") == 1, F.get("suggestions", F.lit(0))).otherwise(F.concat(F.get("suggestions", F.lit(0)), F.lit("+"), (F.size("suggestions") - 1).cast("string")))
-    groups = issues.groupBy("doc_id", "found", "rule_type", "severity", shown.alias("shown")).agg(F.array_sort(F.collect_list(F.struct("line", "col"))).alias("at"))
+    groups = issues.groupBy("doc_id", "found", "rule_type", "severity", sinks.shown().alias("shown")).agg(F.array_sort(F.collect_list(F.struct("line", "col"))).alias("at"))
     place = lambda p: F.concat(p["line"].cast("string"), F.lit(":"), p["col"].cast("string"))
     first = F.concat_ws(":", place(F.get("at", F.lit(0))), F.upper(F.substring("severity", 1, 1)), "rule_type", F.concat("found", F.lit("→"), "shown"))
     more = F.when(F.size("at") > 1, F.concat(F.lit(" (×"), F.size("at").cast("string"), F.lit(" also at "), F.array_join(F.transform(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(1))), place), ","), F.lit(")"))).otherwise("")
@@ -97,8 +116,7 @@ def compact_lines(issues: DataFrame) -> DataFrame:
 
 def tabular(issues: DataFrame) -> DataFrame:
     """``doc_id, row``: tab-separated findings, with tabs, line ends and backslashes escaped."""
-    escape = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
-    cells = [F.col("line").cast("string"), F.col("col").cast("string"), "severity", "rule_type", escape(F.col("found")), escape(F.array_join("suggestions", "/"))]
+    cells = [F.col("line").cast("string"), F.col("col").cast("string"), "severity", "rule_type", sinks.escaped(F.col("found")), sinks.escaped(F.array_join("suggestions", "/"))]
     return issues.select("doc_id", F.concat_ws("\t", *cells).alias("row"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions import kernels as K
 from glyphmill.functions import text as X
 
 #: Phrases of stock prose, marks that end sentences, and subjects.
@@ -27,12 +30,27 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("n", "sentence")).where("trim(sentence) <> ''")
 
 
+_WORD, _BETWEEN = re.compile(r"[^\W_]+"), re.compile(r"[ \t]+|[ \t]*\r?\n[ \t]*")
+
+
+def _repeats(text: str):
+    """(position, both words) of ASCII words of three letters or digits that follow themselves, blanks or one line end between."""
+    before = None
+    for m in _WORD.finditer(text):
+        word = m[0]
+        if before and len(word) >= 3 and word.isascii() and word.lower() == before[0].lower() and _BETWEEN.fullmatch(text, before.end(), m.start()):
+            yield before.start(), text[before.start() : m.end()]
+        before = m
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, found``: a word that follows itself, case apart; each repeat from the first of its pair on."""
+    return K.found(docs, _repeats, "pos int, found string")
+
+
 def latin_repetitions(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_repeats``: words of three or more ASCII letters or digits that follow themselves, case apart."""
-    words = docs.select("doc_id", F.split("text", r"[ \t\r\n]+", -1).alias("w"))
-    pairs = F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
-    n = F.size(F.filter(pairs, lambda p: p["a"].rlike("^[A-Za-z0-9]{3,}$") & (F.lower(p["a"]) == F.lower(p["b"]))))
-    return words.select("doc_id", n.alias("n_repeats")).where("n_repeats > 0")
+    """``doc_id, n_repeats``: how many words follow themselves (``repeated_words``)."""
+    return K.found(docs, lambda t: [(n,)] if (n := sum(1 for _ in _repeats(t))) else [], "n_repeats int")
 
 
 def dashes(docs: DataFrame, per_paragraph: int = 3, least: int = 3) -> DataFrame:
@@ -101,10 +119,15 @@ def html_languages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", lang.alias("lang"), lang.rlike("^(zh|yue|cmn|nan|hak|wuu|lzh)(-|$)").alias("is_chinese"))
 
 
+#: Pairs of letters that are acronyms when they stand apart; all others of two letters are left alone.
+TWO_LETTERS = ["AI", "IO", "OS", "IP", "UI", "VM", "GC", "PC", "DB", "PR", "RD", "QA", "ML", "FE", "BE"]
+
+
 def spaced_acronyms(docs: DataFrame) -> DataFrame:
-    """``doc_id, found, suggestion``: three or more single capitals with spaces between."""
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Z]( [A-Z]){2,}(?![A-Za-z0-9])"), F.lit(0)))
-    return docs.select("doc_id", found.alias("found")).withColumn("suggestion", F.replace(F.col("found"), F.lit(" "), F.lit("")))
+    """``doc_id, found, suggestion``: three or more single capitals with spaces between, or two that are listed."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Z]( [A-Z])+(?![A-Za-z0-9])"), F.lit(0)))
+    joined = docs.select("doc_id", found.alias("found")).withColumn("suggestion", F.replace(F.col("found"), F.lit(" "), F.lit("")))
+    return joined.where((F.length("suggestion") > 2) | F.col("suggestion").isin(TWO_LETTERS))
 
 
 def ellipses(docs: DataFrame) -> DataFrame:
@@ -113,5 +136,7 @@ def ellipses(docs: DataFrame) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, end, found`` of @names."""
-    return docs.select("doc_id", F.explode(X.spans(F.col("text"), "@[A-Za-z0-9_]+")).alias("s")).select("doc_id", "s.start", "s.end", "s.found")
+    """``doc_id, start, end, found`` of @names outside addresses and paths."""
+    from glyphmill.operators import masks
+
+    return K.found(docs, lambda t: ((a, b, t[a:b]) for a, b in masks.mention_spans(t)), "start int, end int, found string", where="@[A-Za-z0-9_]")

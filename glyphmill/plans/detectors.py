@@ -55,18 +55,19 @@ def formal_register(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {overlay.SQL}, p AS (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM d), h AS (SELECT doc_id, pos, regexp_extract(substr(text, pos + 1), '^{P.any_of(P.FALSE_FRIENDS)}') AS found, length(regexp_replace(substr(text, 1, pos), '[^，,。；\\n]', '', 'g')) AS clause FROM p),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, clause) AS n FROM h WHERE found <> '') SELECT doc_id, pos, found FROM c WHERE n >= 2"""
+    f"""WITH {overlay.SQL}, m AS (SELECT doc_id, regexp_extract_all(text, '{P.any_of(P.FALSE_FRIENDS)}') AS f, string_split_regex(text, '{P.any_of(P.FALSE_FRIENDS)}') AS g FROM d WHERE regexp_matches(text, '{P.any_of(P.FALSE_FRIENDS)}')), u AS (SELECT *, generate_subscripts(f, 1) AS i, unnest(f) AS found FROM m),
+h AS (SELECT doc_id, found, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0))::BIGINT AS pos, length(regexp_replace(array_to_string(g[1:i], ''), '[^，,。；\\n]', '', 'g')) AS clause FROM u),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, clause) AS n FROM h) SELECT doc_id, pos, found FROM c WHERE n >= 2"""
 )
 def false_friends(spark, sf_dir):
     return P.false_friends(_docs(spark, sf_dir))
 
 
 @_query(
-    f"WITH {overlay.SQL}, t(phrase, threshold) AS (VALUES {', '.join(f'({_q(p)}, {t})' for p, t in R.TRACKED)}), n AS (SELECT doc_id, phrase, text, threshold, (length(text) - length(replace(text, phrase, ''))) // length(phrase) AS n FROM d, t) SELECT doc_id, phrase, n, instr(text, phrase) - 1 AS pos FROM n WHERE n > 0 AND length(text) >= 20 AND 1000.0::DOUBLE * n / length(text) > threshold"
+    f"WITH {overlay.SQL}, t(phrase, threshold) AS (VALUES {', '.join(f'({_q(p)}, {t})' for p, t in R.TRACKED)}), n AS (SELECT doc_id, phrase, text, threshold, (length(text) - length(replace(text, phrase, ''))) // length(phrase) AS n FROM d, t) SELECT doc_id, phrase, n, instr(text, phrase) - 1 AS pos FROM n WHERE n > 0 AND length(text) >= 500 AND 1000.0::DOUBLE * n / length(text) > threshold"
 )
 def tracked_density(spark, sf_dir):
-    return R.tracked_density(_docs(spark, sf_dir), least=20)
+    return R.tracked_density(_docs(spark, sf_dir))
 
 
 @_query(rf"WITH {_PARAGRAPHS}, b AS (SELECT doc_id, trim(body) AS body FROM g WHERE trim(body) <> '') SELECT doc_id, count(*) FILTER (regexp_matches(right(body, 30), '{R._any(R.ENDINGS)}')) AS n_endings FROM b GROUP BY doc_id HAVING count(*) >= 5 AND count(*) FILTER (regexp_matches(right(body, 30), '{R._any(R.ENDINGS)}')) >= 3")
@@ -103,9 +104,9 @@ def double_dashes(spark, sf_dir):
     return R.double_dashes(_docs(spark, sf_dir))
 
 
-@_query(f"WITH {_PARAGRAPHS}, n AS (SELECT *, (length(body) - length(replace(body, '之一', ''))) // 2 AS n FROM g) SELECT doc_id, paragraph, n FROM n WHERE length(body) >= 20 AND n >= 2 AND 200.0 * n / length(body) >= 2")
+@_query(f"WITH {_PARAGRAPHS}, n AS (SELECT *, (length(body) - length(replace(body, '之一', ''))) // 2 AS n FROM g) SELECT doc_id, paragraph, n FROM n WHERE length(body) >= 100 AND n >= 2 AND 200.0 * n / length(body) >= 2")
 def one_of_density(spark, sf_dir):
-    return R.one_of_density(_docs(spark, sf_dir), least=20)
+    return R.one_of_density(_docs(spark, sf_dir))
 
 
 @_query(
@@ -152,6 +153,6 @@ def oral_density(spark, sf_dir):
     return R.oral_density(_docs(spark, sf_dir))
 
 
-@_query(f"WITH {_SENTENCES}, c AS (SELECT doc_id, length(trim(sentence)) AS size FROM s WHERE length(trim(sentence)) >= 2) SELECT doc_id, count(*) AS n_sentences, round(stddev_pop(size), 9) AS sigma FROM c GROUP BY doc_id HAVING count(*) >= 3")
+@_query(f"WITH {_SENTENCES}, c AS (SELECT doc_id, length(trim(sentence)) AS size FROM s WHERE length(trim(sentence)) >= 4) SELECT doc_id, count(*) AS n_sentences, round(stddev_pop(size), 9) AS sigma FROM c GROUP BY doc_id HAVING count(*) >= 10")
 def sentence_variability(spark, sf_dir):
-    return R.sentence_variability(_docs(spark, sf_dir), 2, 3).withColumn("sigma", F.round("sigma", 9))
+    return R.sentence_variability(_docs(spark, sf_dir)).withColumn("sigma", F.round("sigma", 9))

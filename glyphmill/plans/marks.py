@@ -9,7 +9,7 @@ from glyphmill.operators import masks as M
 from glyphmill.operators import spans as P
 from glyphmill.plans import overlay
 from glyphmill.plans.detectors import _LINES
-from glyphmill.plans.registry import _HITS, _QUERIES, _issues, _query
+from glyphmill.plans.registry import _CHARS, _HITS, _QUERIES, _issues, _query
 
 
 def _unchecked(f):
@@ -70,14 +70,25 @@ def yaml_key_mask(spark, sf_dir):
     return M.yaml_keys(_docs(spark, sf_dir))
 
 
-@_unchecked
+# Fences: a state that goes from line to line.
+_FENCES = f"""{_LINES}, t AS (SELECT doc_id, line_no, line, CASE WHEN regexp_matches(line, '^ {{0,3}}```') THEN 'tick' WHEN regexp_matches(line, '^ {{0,3}}~~~') THEN 'wave' END AS sign FROM l),
+g AS (SELECT doc_id, line_no, sign, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM t WHERE sign IS NOT NULL),
+f AS (SELECT doc_id, k, line_no, sign AS open_after, true AS opens FROM g WHERE k = 1 UNION ALL
+  SELECT g.doc_id, g.k, g.line_no, CASE WHEN f.open_after IS NULL THEN g.sign WHEN f.open_after = g.sign THEN NULL ELSE f.open_after END, f.open_after IS NULL FROM f JOIN g ON g.doc_id = f.doc_id AND g.k = f.k + 1),
+inside AS (SELECT t.doc_id, t.line_no FROM t LEFT JOIN (SELECT doc_id, line_no, open_after, coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY k), 1000000000) AS next_no FROM f) s ON s.doc_id = t.doc_id AND s.line_no <= t.line_no AND t.line_no < s.next_no WHERE t.sign IS NOT NULL OR s.open_after IS NOT NULL)"""
+
+
+@_query(f"WITH RECURSIVE {_FENCES} SELECT doc_id, line_no FROM inside")
 def fenced_lines(spark, sf_dir):
     return M.fenced_lines(_docs(spark, sf_dir))
 
 
-@_unchecked
+@_query(
+    rf"""WITH RECURSIVE {_FENCES} SELECT t.doc_id, t.line_no, length(regexp_extract(t.line, '^ {{0,3}}(#{{1,6}})[ \t]', 1)) AS level, trim(regexp_replace(regexp_replace(t.line, '^ {{0,3}}#{{1,6}}[ \t]', ''), '[ \t]+#+[ \t]*\r?$|\r$', '')) AS title
+FROM t WHERE regexp_matches(t.line, '^ {{0,3}}#{{1,6}}[ \t]') AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.doc_id = t.doc_id AND i.line_no = t.line_no)"""
+)
 def heading_table(spark, sf_dir):
-    return M.headings(_docs(spark, sf_dir))
+    return M.headings(_docs(spark, sf_dir)).select("doc_id", "line_no", "level", "title")
 
 
 @_unchecked
@@ -90,12 +101,31 @@ def foreign_scopes(spark, sf_dir):
     return M.foreign_scopes(spark.read.parquet(f"{sf_dir}/pages.parquet")).toDF("page_id", "start_at", "end_at")
 
 
-@_unchecked
+# Brackets: a stack that goes from sign to sign, as a list.
+_SIGNS = rf"""{_spans_sql('u', r'[「」『』《》]|' + chr(92) + 'n[ ' + chr(92) + 't' + chr(92) + 'r]*' + chr(92) + 'n')}, e AS (SELECT doc_id, a AS pos, CASE WHEN starts_with(found, chr(10)) THEN 'P' ELSE found END AS sign FROM u UNION ALL SELECT doc_id, length(text), 'P' FROM d),
+k AS (SELECT doc_id, pos, sign, row_number() OVER (PARTITION BY doc_id ORDER BY pos, sign = 'P') AS k FROM e WHERE doc_id IN (SELECT doc_id FROM u WHERE NOT starts_with(found, chr(10))))"""
+_STACK = r"""s AS (SELECT doc_id, 0::BIGINT AS k, []::STRUCT(p BIGINT, c VARCHAR)[] AS st, []::STRUCT(p BIGINT, c VARCHAR, x VARCHAR)[] AS told FROM k WHERE k = 1 UNION ALL
+  SELECT k.doc_id, k.k,
+    CASE WHEN k.sign = 'P' THEN [] WHEN k.sign IN ('「', '『', '《') THEN list_append(st, {'p': k.pos, 'c': k.sign}) WHEN len(st) > 0 AND st[-1].c = translate(k.sign, '」』》', '「『《') THEN st[1:len(st) - 1] ELSE st END,
+    CASE WHEN k.sign = 'P' THEN list_transform(st, lambda q: {'p': q.p, 'c': q.c, 'x': 'unclosed'}) WHEN k.sign IN ('「', '『', '《') THEN [] WHEN len(st) = 0 THEN [{'p': k.pos, 'c': k.sign, 'x': 'unmatched'}] WHEN st[-1].c <> translate(k.sign, '」』》', '「『《') THEN [{'p': k.pos, 'c': k.sign, 'x': 'interleaved'}]
+      WHEN k.sign = '』' AND len(list_filter(st[1:len(st) - 1], lambda q: q.c = '「')) = 0 THEN [{'p': k.pos, 'c': k.sign, 'x': 'outermost'}] ELSE [] END
+  FROM s JOIN k ON k.doc_id = s.doc_id AND k.k = s.k + 1)"""
+
+
+@_query(f"WITH RECURSIVE {overlay.SQL}, {_SIGNS}, {_STACK}, o AS (SELECT doc_id, unnest(told) AS t FROM s) SELECT doc_id, t.p AS pos, t.c AS found, t.x AS problem FROM o")
 def bracket_problems(spark, sf_dir):
     return P.bracket_problems(_docs(spark, sf_dir))
 
 
-@_unchecked
+# Findings and wider ones around them, in the order of precedence; each is held against those that were kept.
+_KEPT = f"""{_HITS}, w AS (SELECT doc_id, pos, found, severity FROM issues UNION ALL SELECT doc_id, greatest(pos - 1, 0), found || '？', 'info' FROM issues),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(found) DESC, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, pos, found, severity) AS k FROM w),
+s AS (SELECT doc_id, 0::BIGINT AS k, []::STRUCT(a BIGINT, b BIGINT)[] AS taken, false AS kept FROM k WHERE k = 1 UNION ALL
+  SELECT k.doc_id, k.k, CASE WHEN len(list_filter(taken, lambda t: t.a < k.pos + length(k.found) AND k.pos < t.b)) = 0 THEN list_append(taken, {{'a': k.pos, 'b': k.pos + length(k.found)}}) ELSE taken END, len(list_filter(taken, lambda t: t.a < k.pos + length(k.found) AND k.pos < t.b)) = 0
+  FROM s JOIN k ON k.doc_id = s.doc_id AND k.k = s.k + 1)"""
+
+
+@_query(f"WITH RECURSIVE {_KEPT} SELECT k.doc_id, k.pos, k.found, k.severity FROM s JOIN k ON k.doc_id = s.doc_id AND k.k = s.k WHERE s.kept")
 def resolved_overlaps(spark, sf_dir):
     found = _issues(spark, sf_dir).select("doc_id", "pos", "found", "severity")
     wider = found.select("doc_id", F.greatest(F.col("pos") - 1, F.lit(0)).alias("pos"), F.concat("found", F.lit("？")).alias("found"), F.lit("info").alias("severity"))
@@ -103,14 +133,14 @@ def resolved_overlaps(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {overlay.SQL}, p AS (SELECT doc_id, text, unnest(range(1, length(text))) AS pos FROM d), r AS (SELECT doc_id, pos, text, length(regexp_extract(substr(text, pos + 1), '^ +')) AS size, substr(text, pos, 1) AS l FROM p WHERE substr(text, pos + 1, 1) = ' ' AND substr(text, pos, 1) <> ' '),
-n AS (SELECT *, substr(text, pos + size + 1, 1) AS r FROM r) SELECT doc_id, pos, size FROM n WHERE (regexp_matches(l, '^[A-Za-z0-9{X.IDEOGRAPH}]$') AND regexp_matches(r, '^[{P._FULL}]$')) OR (regexp_matches(l, '^[{P._FULL}]$') AND regexp_matches(r, '^[A-Za-z0-9{X.IDEOGRAPH}]$'))"""
+    f"""WITH {_CHARS}, s AS (SELECT *, lag(ch) OVER w AS l, min(CASE WHEN ch <> ' ' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT s.doc_id, s.pos, s.stop - s.pos AS size FROM s JOIN c r ON r.doc_id = s.doc_id AND r.pos = s.stop WHERE s.ch = ' ' AND l <> ' ' AND ((regexp_matches(l, '^[A-Za-z0-9{X.IDEOGRAPH}]$') AND regexp_matches(r.ch, '^[{P._FULL}]$')) OR (regexp_matches(l, '^[{P._FULL}]$') AND regexp_matches(r.ch, '^[A-Za-z0-9{X.IDEOGRAPH}]$')))"""
 )
 def unwanted_spaces(spark, sf_dir):
     return P.unwanted_spaces(_docs(spark, sf_dir))
 
 
-@_query(f"WITH {overlay.SQL}, p AS (SELECT doc_id, text, unnest(range(1, length(text))) AS pos FROM d) SELECT doc_id, pos FROM p WHERE substr(text, pos + 1, 1) = '.' AND regexp_matches(substr(text, pos, 1), '^[{X.IDEOGRAPH}]$') AND NOT regexp_matches(substr(text, pos + 2, 1), '^[.A-Za-z0-9]$')")
+@_query(f"WITH {_CHARS}, n AS (SELECT *, lag(ch) OVER w AS l, lead(ch) OVER w AS r FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos FROM n WHERE ch = '.' AND regexp_matches(l, '^[{X.IDEOGRAPH}]$') AND NOT coalesce(regexp_matches(r, '^[.A-Za-z0-9]$'), false)")
 def half_width_stops(spark, sf_dir):
     return P.half_width_stops(_docs(spark, sf_dir))
 
@@ -120,9 +150,9 @@ TERMS = {"GitHub": [], "JavaScript": ["JAVASCRIPT"], "API": ["api"], "GPU": []}
 
 
 @_query(
-    f"""WITH {overlay.SQL}, t(term, right_forms) AS (VALUES {', '.join(f"('{t}', {[t, *m]})" for t, m in TERMS.items())}), p AS (SELECT doc_id, text, unnest(range(0, length(text))) AS pos FROM d)
-SELECT doc_id, pos, substr(text, pos + 1, length(term)) AS found, term AS suggestion FROM p JOIN t ON lower(substr(text, pos + 1, length(term))) = lower(term) WHERE NOT list_contains(right_forms, substr(text, pos + 1, length(term)))
-AND (pos = 0 OR NOT regexp_matches(substr(text, pos, 1), '^[A-Za-z]$')) AND NOT regexp_matches(substr(text, pos + length(term) + 1, 1), '^[A-Za-z]$')"""
+    f"""WITH {overlay.SQL}, {_spans_sql('u', '(?i)(' + '|'.join(sorted(TERMS, key=len, reverse=True)) + ')')}, t(term, right_forms) AS (VALUES {', '.join(f"('{t}', {[t, *m]})" for t, m in TERMS.items())})
+SELECT u.doc_id, a AS pos, found, term AS suggestion FROM u JOIN t ON lower(found) = lower(term) JOIN d ON d.doc_id = u.doc_id WHERE NOT list_contains(right_forms, found)
+AND (a = 0 OR NOT regexp_matches(substr(text, a, 1), '^[A-Za-z]$')) AND NOT regexp_matches(substr(text, a + length(found) + 1, 1), '^[A-Za-z]$')"""
 )
 def case_issues(spark, sf_dir):
     return P.case_issues(_docs(spark, sf_dir), TERMS)
@@ -134,7 +164,7 @@ def composed_texts(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_HITS}, s AS (SELECT *, CASE WHEN len(suggestions) = 0 THEN '(delete)' WHEN len(suggestions) = 1 THEN suggestions[1] ELSE suggestions[1] || '+' || (len(suggestions) - 1)::VARCHAR END AS shown FROM issues),
+    f"""WITH {_HITS}, s AS (SELECT *, CASE WHEN len(suggestions) = 0 THEN coalesce(english, '?') WHEN suggestions = [''] THEN '(delete)' WHEN len(suggestions) = 1 THEN suggestions[1] ELSE suggestions[1] || '+' || (len(suggestions) - 1)::VARCHAR END AS shown FROM issues),
 g AS (SELECT doc_id, found, rule_type, severity, shown, list(line || ':' || col ORDER BY line, col) AS places FROM s GROUP BY 1, 2, 3, 4, 5)
 SELECT doc_id, places[1] || ':' || upper(substr(severity, 1, 1)) || ':' || rule_type || ':' || found || '→' || shown || CASE WHEN len(places) > 1 THEN ' (×' || len(places) || ' also at ' || array_to_string(places[2:], ',') || ')' ELSE '' END AS report FROM g"""
 )

@@ -1,4 +1,4 @@
-"""Chinese texts for the driver's documents, which have none: a sentence for each document by its number."""
+"""Chinese for the driver's documents, which have none: a passage by its number stands before its whole text."""
 
 from __future__ import annotations
 
@@ -28,17 +28,34 @@ TEXTS = [
     "他說「這樣『很好』」，又說『外面「裡面」』。「沒有結束。\n\n（半邊）與(ascii)和（錯」。e\u0301 與 é，連結 https://example.org/a_b?c=1「」 和 ./src/main.txt。",
     "正文 <!-- glyphmill:disable-next -->\n軟件\n<!-- glyphmill:disable-block -->\n信息\n<!-- glyphmill:enable -->\n視頻 // glyphmill:ignore\n數據 ，好 。 是\n```\n軟件\n~~~\n```\n`軟件` 和 [網路](https://a.b/c) <b>視頻</b>。是的.\n「軟件」一詞，『信息』是大陸的用語",
     "---\ntitle: 軟件\nlang: zh\n---\n:::note\n信息.\n:::\n# 軟件標題\nGITHUB 和 JavaScript 與 Javascripts 及 github",
+    "他說“你好‘嗎’”。她引用了：“Do one thing.”他按\"Enter\"鍵，又寫\"x y\"。\n\n設定“font”屬性，而“再見“是錯的。",
+    "中文(註解)好(abc)中(巢(狀)的)字。他說:好,I agree, 對;時間 12:30 開始:是\n: 定義\n上海(1957 年)也好(嗎)。",
+    "头发和皇后的发现，以后里面干净。他们几乎只是准备着复杂的系统，裏面。",
+    "| 甲 | 乙 |\n| --- | --- |\n| 軟件 | b |\n| c | 信息 |\n\n標題\n===\n\n---\n# 節的軟件\n> # 引\n```\n# no\n```",
+    "a\u200b軟件，\ufeffb\u00ad。👩\u200d🚀 x\u200dy 好\U000e0100字 c\U000e0100 \u200e 尾\u2060",
+    "研究顯示成果很好。中央氣象署專家認為會下雨。研究顯示[1]很好。根據研究顯示如此。研究顯示器很貴。專家指出，這很好 https://a.b/c。",
+    "越來越好，越走越遠的人生啊。\n\n這條線是一條線，這條線會延伸。\n\n越來越好，越走越遠的人生啊。\n\n你以為很快嗎？錯了。為什麼會慢？因為沒有想。\n\n**甲**和**乙**都很好。\n\n展望未來，值得期待。",
+    "雖然很快，但很貴。儘管如此，卻好。不僅快，更好。即使下雨，不過還好。不只好，也快。這奠定了理論基礎。隨著科技不斷發展。",
+    "這是一個在昨天下午的會議中由大家共同提出的非常重要的建議。他看到的在早上的時候出現的那個很好的人。",
+    "累積分佈很好，積分也好。這個程序員寫程序。文件夾裡的文件打開了。總而言之，數據集很大，數據很多。視頻會議的視頻，\n\n視頻。",
+    "在某種程度上，可以說是好的；相對而言，從某個角度來看也可以說是好的，在某種程度上很好很好很好很好很好。他說「可以說是」。",
+    "進程的排程很慢。學習的進程。\n\n進程很多，線程也是，而且內地的硬件好。這個令牌與中間件的接口。",
+    "她在心裏說，這裏很好。",
+    "這個軟件和那個軟體不同，信息就是資訊，視頻不是影像。",
+    "這是最好的方法之一，也是最快的方法之一，" + "用起來很順手而且看起來很清楚，" * 6 + "所以大家都喜歡。",
 ]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage by each document's number, a blank line, and the document's whole own text."""
     texts = F.array(*[F.lit(t) for t in TEXTS])
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    return docs.select("doc_id", F.element_at(texts, (F.pmod("doc_id", F.lit(len(TEXTS))) + 1).cast("int")).alias("text"))
+    own = F.element_at(texts, (F.pmod("doc_id", F.lit(len(TEXTS))) + 1).cast("int"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.concat(own, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-SQL = "d AS (SELECT doc_id, CASE doc_id % " + str(len(TEXTS)) + " " + " ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(TEXTS)) + " END AS text FROM documents)"
+SQL = "d AS (SELECT doc_id, CASE doc_id % " + str(len(TEXTS)) + " " + " ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(TEXTS)) + " END || chr(10) || chr(10) || coalesce(text, '') AS text FROM documents)"

@@ -30,8 +30,32 @@ ROWS = [
 ]
 
 
+#: Rules that show what a rule may ask of a match's surroundings: those of ROWS and further exceptions, clues
+#: with a direction, groups, guard and confidence.
+FEATURES = [
+    (0, 1, "積分", ["點數"], "cross_strait", "points", "warning", False, [], [], [], [], [], [], None, None),
+    (0, 2, "程序", ["程式"], "cross_strait", "program", "warning", False, [], [], [], ["程序員"], [], [], None, "low"),
+    (0, 3, "文件夾", ["資料夾"], "cross_strait", "folder", "warning", False, [], [], [], [], [], [], None, None),
+    (0, 4, "文件", ["檔案", "文件"], "confusable", "file", "warning", False, [], [], [], [], ["before:打開"], [], None, None),
+    (0, 5, "數據", ["數據集", "資料"], "confusable", "data", "warning", False, [], [], [], [], ["adjacent:很"], [], None, None),
+    (0, 6, "視頻", ["影片", "短片"], "cross_strait", "video", "warning", False, [], [], [], [], [], [(["會議"], ["視訊"]), ([], ["壞"]), (["好"], [""])], None, None),
+    (0, 7, "總而言之", [""], "ai_filler", None, "info", False, [], [], [], [], [], [], None, None),
+    (0, 8, "研究顯示", [""], "ai_filler", None, "info", False, [], [], [], [], [], [], "attribution", None),
+    (0, 9, "裏", ["裡"], "variant", None, "warning", False, [], [], [], [], [], [], None, None),
+    (0, 10, "內地", ["中國"], "political_coloring", "mainland", "error", False, [], [], [], [], [], [], None, None),
+    (0, 11, "進程", ["行程", "處理程序"], "cross_strait", "process", "warning", False, [], [], [], [], [], [], None, None),
+    (0, 12, "線程", ["執行緒"], "cross_strait", "thread", "warning", False, ["進程", "硬件"], [], [], [], [], [], None, None),
+    (0, 13, "令牌", ["權杖", "符記"], "cross_strait", "token", "warning", False, [], [], [], [], [], [], None, None),
+    (0, 14, "硬件", ["硬體"], "cross_strait", "hardware", "warning", False, ["線程", "軟件"], [], [], [], [], [], None, None),
+]
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ROWS, RULES)
+    return spark.createDataFrame([(*r, [], [], [], None, None) for r in ROWS], RULES)
+
+
+def features(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FEATURES, RULES)
 
 
 def _list(values: list[str], kind: str = "VARCHAR[]") -> str:

@@ -35,6 +35,7 @@ def test_lines_of_markup(spark):
     assert pairs(M.fenced_lines(docs)) == [(0, 4), (0, 5), (0, 6), (0, 7), (1, 0), (1, 1)]
     assert pairs(M.front_matter_lines(docs)) == [(0, 0), (0, 2)]
     assert pairs(M.container_lines(docs)) == [(0, 8)]
+    assert pairs(M.line_spans(docs, M.container_numbers).withColumnRenamed("start", "line_no")) == [(0, docs.first().text.index(":::"))]
     assert sorted((r.level, r.title) for r in M.headings(docs).collect()) == [(1, "題"), (2, "d")]
     texts = ["看 `code` 和 [字](x/y)\n```\nz\n```"]
     assert slices(M.mask(docs_of(spark, *texts)), texts) == sorted([(0, "```"), (0, "```"), (0, "`code`"), (0, "](x/y)"), (0, "z")])
@@ -100,8 +101,8 @@ def test_spaces_stops_case_and_composition(spark):
 
 
 def test_reports(spark):
-    rows = [(1, 0, 1, 1, "軟件", ["軟體"], "cross_strait", "warning"), (1, 9, 2, 3, "軟件", ["軟體"], "cross_strait", "warning"), (1, 5, 1, 6, "a\tb", [], "case", "info")]
-    found = spark.createDataFrame(rows, "doc_id long, pos int, line int, col int, found string, suggestions array<string>, rule_type string, severity string")
-    assert sorted(r.report for r in P.compact_lines(found).collect()) == ["1:1:W:cross_strait:軟件→軟體 (×2 also at 2:3)", "1:6:I:case:a\tb→(delete)"]
+    rows = [(1, 0, 1, 1, "軟件", ["軟體"], "cross_strait", "warning", "software"), (1, 9, 2, 3, "軟件", ["軟體"], "cross_strait", "warning", "software"), (1, 5, 1, 6, "a\tb", [""], "case", "info", None), (1, 7, 1, 8, "c", [], "case", "info", "sea")]
+    found = spark.createDataFrame(rows, "doc_id long, pos int, line int, col int, found string, suggestions array<string>, rule_type string, severity string, english string")
+    assert sorted(r.report for r in P.compact_lines(found).collect()) == ["1:1:W:cross_strait:軟件→軟體 (×2 also at 2:3)", "1:6:I:case:a\tb→(delete)", "1:8:I:case:c→sea"]
     assert "1\t6\tinfo\tcase\ta\\tb\t" in {r.row for r in P.tabular(found).collect()}
     assert P.digests(found).first() == P.digests(found.orderBy("found")).first()
