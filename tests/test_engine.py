@@ -265,7 +265,7 @@ def test_rhetoric():
     assert families("展望未來，好。後面。", ST.section_endings) == [] and families("前面。未來可期！（註）", ST.section_endings) == [("formulaic_closing", 3)]
     assert families("這奠定了理論基礎。隨著科技不斷發展。", ST.section_endings) == [("significance_stamp", 1), ("era_opener", 9)]
     assert families("**甲**和**乙**好。", ST.excessive_bold) == [("bold_in_sentence", 0)]
-    assert families("這條線是一條線，這條路會延伸。", ST.line_metaphor) == [("line_metaphor", 5)] and not families("這條線是一條線。\n\n這條線會延伸。", ST.line_metaphor)
+    assert families("這條線是一條線，這條路會延伸。", ST.line_metaphor) == [("line_metaphor", 4)] and not families("這條線是一條線。\n\n這條線會延伸。", ST.line_metaphor)
     slogan = "越來越好，越走越遠的人生。"
     assert families(f"{slogan}\n\n{slogan}\n\n{slogan}", ST.repeated_slogans) == [("repeated_slogan", 0)] and not families(slogan + slogan, ST.repeated_slogans)
     asked = "你以為快嗎？錯了。那為什麼慢？主要是因為沒想。"
