@@ -160,10 +160,9 @@ def main(args: list[str] | None = None) -> int:
         report.show(10_000, truncate=False)
     if a.fix != "none" and a.out:
         sinks.write_fixed(FX.fixed(docs, scanner, a.fix), f"{a.out}-fixed")
-    if read.where("unreadable or too_large").limit(1).count():
-        return 2
-    gate = D.gate(issues, 10**9 if a.max_errors is None else a.max_errors, 10**9 if a.max_warnings is None else a.max_warnings)
-    return 0 if gate.first().passed else 1
+    broken = read.where("unreadable or too_large").limit(1).count()
+    gate = D.gate(issues, 10**9 if a.max_errors is None else a.max_errors, 10**9 if a.max_warnings is None else a.max_warnings, broken)
+    return gate.first().exit_code
 
 
 if __name__ == "__main__":

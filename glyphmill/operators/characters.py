@@ -17,7 +17,6 @@ from glyphmill.operators import quotes as Q
 _FULL = "，。！？；：、（）「」『』《》…—"
 _GAP = K.compiled(f"(?<=[{X.IDEOGRAPH}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{X.IDEOGRAPH}])")
 _RUN = re.compile(f"([{_FULL}])\\1+")
-_RANGE = K.compiled(f"(?<=[{X.IDEOGRAPH}])~(?=[0-9{X.IDEOGRAPH}])|(?<=[0-9])~(?=[{X.IDEOGRAPH}])|(?<=[{X.IDEOGRAPH}])-(?=[{X.IDEOGRAPH}])")
 _UNIT = K.compiled(f"(?=([{X.IDEOGRAPH}]{{3}})\\1)|(?=([{X.IDEOGRAPH}]{{2}})\\2)")
 _SINGLE = K.compiled(f"([{X.IDEOGRAPH}])\\1")
 #: Doubled characters that are words; a few, which callers may replace.
@@ -45,11 +44,6 @@ def repeated_marks(docs: DataFrame) -> DataFrame:
     return K.found(docs, of, "pos int, found string", where=f"[{_FULL}]")
 
 
-def ranges(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, found``: ~ between digits or ideographs with at least one ideograph; - between two ideographs."""
-    return K.found(docs, lambda t: ((m.start(), m[0]) for m in _RANGE.finditer(t)), "pos int, found string", where="[~-]")
-
-
 def repeated_units(docs: DataFrame) -> DataFrame:
     """``doc_id, pos, unit``: two or three ideographs that follow themselves at once, three before two."""
 

@@ -74,11 +74,11 @@ def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("doc_id").agg(count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("infos"))
 
 
-def gate(issues: DataFrame, max_errors: int, max_warnings: int) -> DataFrame:
-    """One row: totals, and whether they pass."""
+def gate(issues: DataFrame, max_errors: int, max_warnings: int, unreadable: int = 0) -> DataFrame:
+    """One row: totals, whether they pass, and what a command returns: 0, 1 if they don't, 2 if a file couldn't be read."""
     count = lambda s: F.count_if(F.col("severity") == s)
     totals = issues.agg(count("error").alias("errors"), count("warning").alias("warnings"))
-    return totals.withColumn("passed", (F.col("errors") <= max_errors) & (F.col("warnings") <= max_warnings))
+    return totals.withColumn("passed", (F.col("errors") <= max_errors) & (F.col("warnings") <= max_warnings)).withColumn("exit_code", F.when(F.lit(unreadable) > 0, 2).when(F.col("passed"), 0).otherwise(1))
 
 
 def grouped(issues: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def findings(docs: DataFrame, patterns: list[Pattern] | None = None, mask: str |
         for c in compiled:
             found = list(c.findings(text, held))
             if found and c.p.casual_only:
-                formal_text = is_formal(text) if formal_text is None else formal_text
+                formal_text = is_formal(blanked(text, held)) if formal_text is None else formal_text
                 found = [] if formal_text else found
             out += found
         return out
@@ -182,6 +182,15 @@ def findings(docs: DataFrame, patterns: list[Pattern] | None = None, mask: str |
     return K.found(docs, of, FINDING, inputs=("text", mask) if mask else ("text",), where=f"[{X.IDEOGRAPH}]")
 
 
+def blanked(text: str, mask: list[L.Span]) -> str:
+    """The text with masked stretches as spaces."""
+    out, at = [], 0
+    for a, b in mask:
+        out += [text[at:a], " " * (b - a)]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 _FORMAL_LEFT = rf"(?:^|[^A-Za-z0-9{X.IDEOGRAPH}])"
 
 

@@ -80,6 +80,56 @@ def colons(text: str, mask: list[L.Span] | None = None) -> Iterator[tuple[int, s
             yield pos, ":", "："
 
 
+def stops(text: str, mask: list[L.Span] | None = None) -> Iterator[tuple[int, str, str]]:
+    """Single full stops behind Chinese, white space apart, and not before a letter or digit."""
+    for m in re.finditer(r"(?<!\.)\.(?![.A-Za-z0-9])", text):
+        if not L.overlaps(mask or [], m.start(), m.end()) and chinese(text, m.start(), -1):
+            yield m.start(), ".", "。"
+
+
+def enumerations(text: str, mask: list[L.Span] | None = None) -> Iterator[tuple[int, str, str]]:
+    """Every full-width comma of a run that has two or more segments of one to four characters between its commas."""
+    commas = [m.start() for m in re.finditer("，", text) if not L.overlaps(mask or [], m.start(), m.end())]
+    short = [1 <= len(text[a + 1 : b].strip()) <= 4 for a, b in zip(commas, commas[1:])]
+    for m in re.finditer("1{2,}", "".join("01"[x] for x in short)):
+        for pos in commas[m.start() : m.end() + 1]:
+            yield pos, "，", "、"
+
+
+def ranges(text: str, mask: list[L.Span] | None = None, en_dash: bool = False) -> Iterator[tuple[int, str, str]]:
+    """Signs that stand for *to*: ~ between digits or Chinese, one side at least Chinese, but not before a number alone;
+    a hyphen between Chinese, but no bullet and none of several."""
+    for m in re.finditer(r"~|(?<!-)-(?!-)", text):
+        pos = m.start()
+        if L.overlaps(mask or [], pos, pos + 1):
+            continue
+        left, right = chinese(text, pos, -1), chinese(text, pos + 1, 1)
+        if m[0] == "~":
+            digits = text[pos - 1 : pos].isdigit() and text[pos - 1].isascii() if pos else False, text[pos + 1 : pos + 2].isdigit() and text[pos + 1].isascii()
+            fits = (left or digits[0]) and (right or digits[1]) and (left or right) and not (digits[1] and not digits[0])
+        else:
+            line = max(text.rfind("\n", 0, pos), text.rfind("\r", 0, pos)) + 1
+            fits = left and right and text[line:pos].strip(" \t") != ""
+        if fits:
+            yield pos, m[0], "–" if en_dash else "～"
+
+
+def ellipses(text: str, mask: list[L.Span] | None = None) -> Iterator[tuple[int, str, str]]:
+    """Three or more full stops (ASCII ones beside Chinese, and not in formulas, comments or tables of contents), and a
+    single … beside Chinese: …… is right."""
+    for m in re.finditer(r"\.{3,}|。{3,}|…+", text):
+        a, b = m.span()
+        if L.overlaps(mask or [], a, b) or (m[0][0] == "…" and b - a != 1):
+            continue
+        if m[0][0] == ".":
+            prefix = text[max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1 : a]
+            leader = b - a >= 5 and re.match(" *[0-9]", text[b:]) is not None
+            if leader or prefix.rstrip().endswith("=") or prefix.lstrip().startswith(("//", "/*")):
+                continue
+        if m[0][0] == "。" or chinese(text, a, -1) or chinese(text, b, 1):
+            yield a, m[0], "……"
+
+
 def _bytes(text: str) -> int:
     return len(text.encode("utf-8", "surrogatepass"))
 

@@ -5,9 +5,12 @@ Null and empty texts have no findings.  Counts never leave a document; each dete
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions import kernels as K
 from glyphmill.functions import text as X
 from glyphmill.operators import structure as S
 
@@ -23,6 +26,8 @@ ABSTRACT_NOUNS = ["的減少", "的增加", "的提高", "的下降", "的通過
 ABSTRACT_VERBS = ["導致", "標誌著", "意味著"]
 ORAL = ["所以說", "基本上", "對不對", "就是說", "怎麼說", "就是", "其實", "然後", "那個", "這個", "嗯", "啊", "呢", "吧", "哦", "喔", "欸", "哎", "唉", "嘛", "齁", "蛤", "咧", "啦", "耶", "哇", "呀", "喂"]
 PAUSES = "，、；：。！？,;:!?…—"
+#: A list item anywhere in a paragraph.
+ANY_ITEM = r"(^|\n)[ \t]*([-*] |[0-9][^\n]{0,2}\. )"
 LIST_ITEM = r"^[ \t]*([-*]|[0-9]+[.)])[ \t]+"
 
 
@@ -56,25 +61,52 @@ def formulaic_headings(docs: DataFrame) -> DataFrame:
 def list_density(docs: DataFrame, share: float = 0.4) -> DataFrame:
     """``doc_id, n_lists, n_paragraphs``: of five or more paragraphs, three or more and over ``share`` are lists."""
     body = S.paragraphs(docs).where("trim(body) <> ''")
-    counts = body.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.count_if(F.col("body").rlike(LIST_ITEM)).alias("n_lists"))
+    counts = body.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.count_if(F.col("body").rlike(ANY_ITEM)).alias("n_lists"))
     return counts.where((F.col("n_paragraphs") >= 5) & (F.col("n_lists") >= 3) & (F.col("n_lists") > share * F.col("n_paragraphs"))).select("doc_id", "n_lists", "n_paragraphs")
 
 
-def _line_runs(docs: DataFrame, condition, least: int) -> DataFrame:
-    """Runs of ``least`` or more lines in a row that meet ``condition``: ``doc_id, first, n_lines``."""
-    by = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = S.lines(docs).withColumn("_hit", condition).withColumn("_island", F.sum(F.when(F.col("_hit"), 0).otherwise(1)).over(by)).where("_hit")
-    return marked.groupBy("doc_id", "_island").agg(F.min("line_no").alias("first"), F.count("*").alias("n_lines")).where(F.col("n_lines") >= least).drop("_island")
+_ITEM = re.compile(r"[ \t]*(?:[-*+][ \t]|[0-9]+[.)][ \t])[ \t]*")
+_BULLET = re.compile(r"[ \t]*(?:[-*] |[0-9]+[.)][ \t])[ \t]*")
 
 
 def stacked_politeness(docs: DataFrame) -> DataFrame:
-    """Three or more list items in a row that begin with 請."""
-    return _line_runs(docs, F.col("line").rlike(LIST_ITEM + "請"), 3)
+    """``doc_id, first, n_lines``: three or more list items in a row that begin with 請; indented lines belong to the item above."""
+
+    def of(text: str) -> list[tuple[int, int]]:
+        out, first, n = [], None, 0
+        for k, line in enumerate([*text.split("\n"), ""]):
+            m = _ITEM.match(line)
+            if m and line.startswith("請", m.end()):
+                first, n = (k if n == 0 else first), n + 1
+            elif m or not line.strip() or line[0] not in " \t":
+                if n >= 3:
+                    out.append((first, n))
+                n = 0
+        return out
+
+    return K.found(docs, of, "first int, n_lines int", where="請")
 
 
 def mechanical_bullets(docs: DataFrame) -> DataFrame:
-    """Three or more list items in a row that begin in bold."""
-    return _line_runs(docs, F.col("line").rlike(LIST_ITEM + r"\*\*"), 3)
+    """``doc_id, first, n_lines, kind``: lists of three or more items that all begin in bold (bold_items), or with a bold
+    label of four characters and a colon (four_character_labels)."""
+    label = re.compile(r"\*\*([^*]*)\*\*\s*[：:]")
+
+    def of(text: str) -> list[tuple[int, int, str]]:
+        out, items, first = [], [], 0
+        for k, line in enumerate([*text.split("\n"), ""]):
+            m = _BULLET.match(line)
+            if m:
+                first = first if items else k
+                items.append(line[m.end() :])
+                continue
+            if len(items) >= 3 and all(i.startswith("**") for i in items):
+                four = all((f := label.match(i)) and len(f[1]) == 4 for i in items)
+                out.append((first, len(items), "four_character_labels" if four else "bold_items"))
+            items = []
+        return out
+
+    return K.found(docs, of, "first int, n_lines int, kind string", where=r"\*\*")
 
 
 def double_dashes(docs: DataFrame) -> DataFrame:

@@ -54,6 +54,15 @@ def rhythm(text: str, mask: list[L.Span]) -> dict[str, tuple[int, float | None]]
     return {k: (len(v), variation(v)) for k, v in out.items()}
 
 
+def mark_rhythm(docs: DataFrame) -> DataFrame:
+    """``doc_id, mark, n, density, cv``: count, density per 1000 characters and variation of gaps of each mark that occurs."""
+
+    def of(text: str) -> list[tuple]:
+        return [(mark, n, 1000 * n / len(text), cv) for mark, (n, cv) in rhythm(text, []).items() if n]
+
+    return K.found(docs, of, "mark string, n int, density double, cv double", where="[，。；、—]")
+
+
 def machine_score(text: str, mask: list[L.Span], found: list[S.Finding], multiplier: float = 1.0, mentions: list[L.Span] | None = None) -> dict | None:
     """Phrases beyond their density (0.7 at most), families of devices (0.3 for prose, 0.15 for layout), other findings
     (0.3), invisible characters (0.2) and even punctuation (0.1); 1 at most.  None under 500 visible characters."""

@@ -84,13 +84,15 @@ class Segmenter:
         """(position, token, whether the dictionary has it)."""
         at = 0
         while at < len(text):
-            n = self._first(text, at)
+            sizes = self.sizes.get(text[at])
+            # Most characters begin no longer word; these need no chunks.
+            n = self._first(text, at) if sizes and sizes[-1] > 1 else 1
             yield at, text[at : at + n], text[at : at + n] in self.weights
             at += n
 
     def clues(self, text: str, clues: list[str]) -> int:
         """How many different clues are a known token or lie inside one."""
-        known = [t for _, t, there in self.tokens(text) if there]
+        known = {t for _, t, there in self.tokens(text) if there}
         return sum(any(c in t for t in known) for c in dict.fromkeys(clues) if c)
 
 

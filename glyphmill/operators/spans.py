@@ -80,12 +80,6 @@ def unwanted_spaces(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").rlike(pattern)).select("doc_id", F.explode(X.spans(F.col("text"), pattern)).alias("s")).select("doc_id", F.col("s.start").alias("pos"), F.length("s.found").alias("size"))
 
 
-def half_width_stops(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos``: single full stops right behind an ideograph and not before a letter or digit."""
-    pattern = rf"(?<=[{X.IDEOGRAPH}])\.(?![.A-Za-z0-9])"
-    return docs.where(F.col("text").rlike(pattern)).select("doc_id", F.explode(X.spans(F.col("text"), pattern)).alias("s")).select("doc_id", F.col("s.start").alias("pos"))
-
-
 def case_issues(docs: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
     """``doc_id, pos, found, suggestion``: ``terms`` (term: other right forms) in other case, not inside Latin words."""
     import re

@@ -12,6 +12,8 @@ from glyphmill.functions import text as X
 
 #: Phrases of stock prose, marks that end sentences, and subjects.
 STOCK_PHRASES = ["值得注意的是", "總而言之", "綜上所述", "不可否認", "眾所周知", "與此同時", "在這個過程中", "毋庸置疑", "由此可見", "換句話說"]
+#: Passive words that are usual in technical prose.
+PASSIVES = ["被定義為", "被廣泛採用", "被置於", "被稱作", "被觀察到", "被記錄為"]
 PRONOUNS = ["我們", "他們", "她們", "它們", "你們", "我", "你", "您", "他", "她", "它"]
 
 
@@ -68,7 +70,7 @@ def mixed_address(docs: DataFrame) -> DataFrame:
 
 def passive_density(docs: DataFrame) -> DataFrame:
     """Paragraphs of 20 characters or more with more passives than max(2, 2 per 100 characters, rounded up)."""
-    n = X.count_of(F.col("body"), "被")
+    n = F.regexp_count("body", F.lit("被(?!" + "|".join(w[1:] for w in PASSIVES) + ")"))
     chars = F.length("body")
     return paragraphs(docs).where((chars >= 20) & (n > F.greatest(F.ceil(chars / 100 * 2), F.lit(2)))).select("doc_id", "paragraph", n.alias("n_passives"))
 
@@ -130,11 +132,6 @@ def spaced_acronyms(docs: DataFrame) -> DataFrame:
     return joined.where((F.length("suggestion") > 2) | F.col("suggestion").isin(TWO_LETTERS))
 
 
-def ellipses(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, found``: dots, or full stops, three or more in a row."""
-    return docs.select("doc_id", F.explode(X.spans(F.col("text"), r"\.{3,}|。{3,}")).alias("s")).select("doc_id", F.col("s.start").alias("pos"), F.col("s.found").alias("found"))
-
-
 def mentions(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end, found`` of @names outside addresses and paths."""
     from glyphmill.operators import masks

@@ -80,21 +80,25 @@ def formulaic_headings(spark, sf_dir):
     return R.formulaic_headings(_docs(spark, sf_dir))
 
 
-@_query(f"WITH {_PARAGRAPHS}, c AS (SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (regexp_matches(body, '{R.LIST_ITEM}')) AS n_lists FROM g WHERE trim(body) <> '' GROUP BY doc_id) SELECT doc_id, n_lists, n_paragraphs FROM c WHERE n_paragraphs >= 5 AND n_lists >= 3 AND n_lists > 0.4 * n_paragraphs")
+@_query(f"WITH {_PARAGRAPHS}, c AS (SELECT doc_id, count(*) AS n_paragraphs, count(*) FILTER (regexp_matches(body, '{R.ANY_ITEM}')) AS n_lists FROM g WHERE trim(body) <> '' GROUP BY doc_id) SELECT doc_id, n_lists, n_paragraphs FROM c WHERE n_paragraphs >= 5 AND n_lists >= 3 AND n_lists > 0.4 * n_paragraphs")
 def list_density(spark, sf_dir):
     return R.list_density(_docs(spark, sf_dir))
 
 
-def _runs_sql(condition: str) -> str:
-    return f"WITH {_LINES}, m AS (SELECT doc_id, line_no, regexp_matches(line, '{condition}') AS hit FROM l), i AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM m WHERE hit) SELECT doc_id, min(line_no) AS first, count(*) AS n_lines FROM i GROUP BY doc_id, island HAVING count(*) >= 3"
-
-
-@_query(_runs_sql(R.LIST_ITEM + "請"))
+# Continuation lines are taken out first; then a run is broken by any line that isn't polite.
+@_query(
+    rf"""WITH {_LINES}, k AS (SELECT doc_id, line_no, regexp_matches(line, '^[ \t]*([-*+][ \t]|[0-9]+[.)][ \t])') AS item, regexp_matches(line, '^[ \t]*([-*+][ \t]|[0-9]+[.)][ \t])[ \t]*請') AS polite, regexp_matches(line, '^[ \t]') AND trim(line, ' ' || chr(9) || chr(13)) <> '' AS deep FROM l),
+m AS (SELECT doc_id, line_no, polite, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM k WHERE item OR NOT deep), i AS (SELECT doc_id, line_no, r - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM m WHERE polite)
+SELECT doc_id, min(line_no) AS first, count(*) AS n_lines FROM i GROUP BY doc_id, island HAVING count(*) >= 3"""
+)
 def stacked_politeness(spark, sf_dir):
     return R.stacked_politeness(_docs(spark, sf_dir))
 
 
-@_query(_runs_sql(R.LIST_ITEM + r"\*\*"))
+@_query(
+    rf"""WITH {_LINES}, m AS (SELECT doc_id, line_no, regexp_extract(line, '^[ \t]*(?:[-*] |[0-9]+[.)][ \t])[ \t]*(.*)$', 1) AS body FROM l WHERE regexp_matches(line, '^[ \t]*([-*] |[0-9]+[.)][ \t])')), i AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM m)
+SELECT doc_id, min(line_no) AS first, count(*) AS n_lines, CASE WHEN bool_and(regexp_matches(body, '^\*\*[^*]{{4}}\*\*\s*[：:]')) THEN 'four_character_labels' ELSE 'bold_items' END AS kind FROM i GROUP BY doc_id, island HAVING count(*) >= 3 AND bool_and(starts_with(body, '**'))"""
+)
 def mechanical_bullets(spark, sf_dir):
     return R.mechanical_bullets(_docs(spark, sf_dir))
 

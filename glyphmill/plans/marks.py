@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as X
 from glyphmill.operators import masks as M
+from glyphmill.operators import quotes as Q
 from glyphmill.operators import spans as P
 from glyphmill.plans import overlay
 from glyphmill.plans.detectors import _LINES
-from glyphmill.plans.registry import _CHARS, _HITS, _QUERIES, _issues, _query
+from glyphmill.plans.registry import _CHARS, _HITS, _QUERIES, _issues, _query, beside_sql
 
 
 def _unchecked(f):
@@ -140,9 +141,19 @@ def unwanted_spaces(spark, sf_dir):
     return P.unwanted_spaces(_docs(spark, sf_dir))
 
 
-@_query(f"WITH {_CHARS}, n AS (SELECT *, lag(ch) OVER w AS l, lead(ch) OVER w AS r FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT doc_id, pos FROM n WHERE ch = '.' AND regexp_matches(l, '^[{X.IDEOGRAPH}]$') AND NOT coalesce(regexp_matches(r, '^[.A-Za-z0-9]$'), false)")
+@_query(f"WITH {_CHARS}, {beside_sql(chr(39) + '.' + chr(39))} SELECT doc_id, pos, ch AS found, '。' AS suggestion FROM w WHERE l1 <> '.' AND NOT regexp_matches(r1, '^[.A-Za-z0-9]$') AND cl")
 def half_width_stops(spark, sf_dir):
-    return P.half_width_stops(_docs(spark, sf_dir))
+    return Q.marks(_docs(spark, sf_dir), Q.stops)
+
+
+@_query(
+    rf"""WITH {_CHARS}, k AS (SELECT c.doc_id, c.pos, row_number() OVER o AS j, lead(c.pos) OVER o AS next_pos FROM c WHERE ch = '，' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+s AS (SELECT k.doc_id, j, length(regexp_replace(substr(text, pos + 2, next_pos - pos - 1), '^[\s\x{{3000}}]+|[\s\x{{3000}}]+$', '', 'g')) BETWEEN 1 AND 4 AS short FROM k JOIN d ON d.doc_id = k.doc_id WHERE next_pos IS NOT NULL),
+i AS (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM s WHERE short), r AS (SELECT doc_id, min(j) AS a, max(j) + 1 AS b FROM i GROUP BY doc_id, island HAVING count(*) >= 2)
+SELECT k.doc_id, k.pos, '，' AS found, '、' AS suggestion FROM k JOIN r ON r.doc_id = k.doc_id AND k.j BETWEEN r.a AND r.b"""
+)
+def enumeration_marks(spark, sf_dir):
+    return Q.marks(_docs(spark, sf_dir), Q.enumerations)
 
 
 #: Terms with their other right forms.

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill import api
+from glyphmill.functions import kernels as K
 from glyphmill.functions import text as X
 from glyphmill.operators import characters as C
 from glyphmill.operators import convert as CV
@@ -24,7 +25,7 @@ from glyphmill.operators import structure as S
 from glyphmill.operators import style as ST
 from glyphmill.plans import overlay, seed
 from glyphmill.plans.detectors import _LINES, _PARAGRAPHS, _q
-from glyphmill.plans.marks import _unchecked
+from glyphmill.plans.marks import _spans_sql, _unchecked
 from glyphmill.plans.registry import _CHARS, _HITS, _ISSUES, _MARKS, _issues, _query, _raw, hits_sql
 from glyphmill.sources import sinks, stores
 
@@ -391,11 +392,11 @@ def word_crossings(spark, sf_dir):
 
 @_unchecked
 def placed_issues(spark, sf_dir):
-    found = K_places(spark, sf_dir)
+    found = _with_texts(spark, sf_dir)
     return G.placed(found).select("doc_id", "pos", "n", "sentence")
 
 
-def K_places(spark, sf_dir):
+def _with_texts(spark, sf_dir):
     """``doc_id, text, pos, size`` of issues, with the text of their document."""
     docs = _docs(spark, sf_dir)
     return _issues(spark, sf_dir).select("doc_id", "pos", "size").join(docs, "doc_id")
@@ -403,7 +404,7 @@ def K_places(spark, sf_dir):
 
 @_unchecked
 def issue_chunks(spark, sf_dir):
-    return G.chunks(K_places(spark, sf_dir)).select("doc_id", "pos", "chunk")
+    return G.chunks(_with_texts(spark, sf_dir)).select("doc_id", "pos", "chunk")
 
 
 # ---- scores
@@ -451,6 +452,30 @@ def batch_totals(spark, sf_dir):
     return SC.totals(_issues(spark, sf_dir), _docs(spark, sf_dir))
 
 
+_RHYTHM = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS mark, pos FROM c WHERE ch = '{m}'" for m in SC.MARKS)
+
+
+@_query(
+    f"""WITH {_CHARS}, n AS (SELECT *, lead(ch) OVER (PARTITION BY doc_id ORDER BY pos) AS r1 FROM c), m AS ({_RHYTHM} UNION ALL SELECT doc_id, '——', pos FROM n WHERE ch = '—' AND r1 = '—'),
+g AS (SELECT *, pos - lag(pos) OVER (PARTITION BY doc_id, mark ORDER BY pos) AS gap FROM m), t AS (SELECT doc_id, mark, count(*) AS n, CASE WHEN count(*) >= 10 AND avg(gap) >= 1 THEN round(stddev_pop(gap) / avg(gap), 9) END AS cv FROM g GROUP BY 1, 2) SELECT t.doc_id, mark, n, 1000.0::DOUBLE * n / length(text) AS density, cv FROM t JOIN d ON d.doc_id = t.doc_id"""
+)
+def mark_rhythm(spark, sf_dir):
+    return SC.mark_rhythm(_docs(spark, sf_dir)).withColumn("cv", F.round("cv", 9))
+
+
+_SEPARATOR = r"\r?\n[ \t]*\r?\n(?:[ \t]*\r?\n)*"
+
+
+@_query(f"WITH {overlay.SQL}, {_spans_sql('u', _SEPARATOR)}, b AS (SELECT doc_id, a, a + length(found) AS b FROM u UNION ALL SELECT doc_id, NULL, 0 FROM d), p AS (SELECT b.doc_id, b.b AS start_at, coalesce(lead(b.a) OVER (PARTITION BY b.doc_id ORDER BY b.b), length(d.text)) AS end_at, d.text FROM b JOIN d ON d.doc_id = b.doc_id) SELECT doc_id, start_at, end_at FROM p WHERE regexp_matches(substr(text, start_at + 1, end_at - start_at), '[^\\s\\x{{3000}}\\x{{00A0}}\\x{{0085}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{001C}}-\\x{{001F}}]')")
+def paragraph_places(spark, sf_dir):
+    return K.found(_docs(spark, sf_dir), G.paragraph_spans, "start_at int, end_at int")
+
+
+@_unchecked
+def sentence_places(spark, sf_dir):
+    return G.sentences(_docs(spark, sf_dir)).toDF("doc_id", "n", "start_at", "end_at")
+
+
 # ---- judgement and stores
 
 @_unchecked

@@ -104,7 +104,7 @@ def severity_summary(spark, sf_dir):
     return D.summary(_issues(spark, sf_dir))
 
 
-@_query(f"WITH {_HITS} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') <= 0 AND count(*) FILTER (severity = 'warning') <= 100000 AS passed FROM issues")
+@_query(f"WITH {_HITS} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') <= 0 AND count(*) FILTER (severity = 'warning') <= 100000 AS passed, CASE WHEN count(*) FILTER (severity = 'error') <= 0 AND count(*) FILTER (severity = 'warning') <= 100000 THEN 0 ELSE 1 END AS exit_code FROM issues")
 def gate_result(spark, sf_dir):
     return D.gate(_issues(spark, sf_dir), 0, 100_000)
 
@@ -177,12 +177,19 @@ def repeated_marks(spark, sf_dir):
     return C.repeated_marks(overlay.documents(spark, sf_dir))
 
 
+def beside_sql(signs: str, where: str = "true") -> str:
+    """``w``: places of signs with what stands before and behind, and whether that is Chinese, white space apart."""
+    return rf"""n AS (SELECT *, coalesce(lag(ch) OVER o, '') AS l1, coalesce(lead(ch) OVER o, '') AS r1 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+v AS (SELECT n.*, substr(d.text, greatest(n.pos - 200, 0) + 1, least(n.pos, 200)) AS l, substr(d.text, n.pos + 2, 200) AS r FROM n JOIN d ON d.doc_id = n.doc_id WHERE ch IN ({signs}) AND ({where})),
+w AS (SELECT *, regexp_matches(l, '[{Q.BESIDE}][\s\x{{3000}}]*$') AS cl, regexp_matches(r, '^[\s\x{{3000}}]*[{Q.BESIDE}]') AS cr FROM v)"""
+
+
 @_query(
-    rf"""WITH {_CHARS}, n AS (SELECT *, coalesce(lag(ch) OVER (PARTITION BY doc_id ORDER BY pos), '') AS l, coalesce(lead(ch) OVER (PARTITION BY doc_id ORDER BY pos), '') AS r FROM c)
-SELECT doc_id, pos, ch AS found FROM n WHERE (ch = '~' AND regexp_matches(l, '^[0-9{X.IDEOGRAPH}]$') AND regexp_matches(r, '^[0-9{X.IDEOGRAPH}]$') AND (regexp_matches(l, {_CJK}) OR regexp_matches(r, {_CJK}))) OR (ch = '-' AND regexp_matches(l, {_CJK}) AND regexp_matches(r, {_CJK}))"""
+    rf"""WITH {_CHARS}, {beside_sql("'~', '-'")} SELECT doc_id, pos, ch AS found, '～' AS suggestion FROM w WHERE (ch = '~' AND (cl OR regexp_matches(l1, '[0-9]')) AND (cr OR regexp_matches(r1, '[0-9]')) AND (cl OR cr) AND NOT (regexp_matches(r1, '[0-9]') AND NOT regexp_matches(l1, '[0-9]')))
+OR (ch = '-' AND l1 <> '-' AND r1 <> '-' AND cl AND cr AND NOT regexp_matches(l, '(^|[\r\n])[ \t]*$'))"""
 )
 def range_marks(spark, sf_dir):
-    return C.ranges(overlay.documents(spark, sf_dir))
+    return Q.marks(overlay.documents(spark, sf_dir), Q.ranges)
 
 
 @_query(
@@ -242,7 +249,7 @@ def mixed_address(spark, sf_dir):
     return S.mixed_address(overlay.documents(spark, sf_dir))
 
 
-@_query(rf"WITH {overlay.SQL}, q AS (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*\n') AS p FROM d), p AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS paragraph, unnest(p) AS body FROM q), n AS (SELECT *, length(body) - length(replace(body, '被', '')) AS n FROM p) SELECT doc_id, paragraph, n AS n_passives FROM n WHERE length(body) >= 20 AND n > greatest(ceil(length(body) / 100.0 * 2), 2)")
+@_query(rf"WITH {overlay.SQL}, q AS (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*\n') AS p FROM d), p AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS paragraph, unnest(p) AS body FROM q), n AS (SELECT *, length(body) - length(replace(body, '被', '')) - len(regexp_extract_all(body, '{"|".join(S.PASSIVES)}')) AS n FROM p) SELECT doc_id, paragraph, n AS n_passives FROM n WHERE length(body) >= 20 AND n > greatest(ceil(length(body) / 100.0 * 2), 2)")
 def passive_density(spark, sf_dir):
     return S.passive_density(overlay.documents(spark, sf_dir))
 
@@ -293,11 +300,12 @@ def spaced_acronyms(spark, sf_dir):
 
 
 @_query(
-    rf"""WITH {_CHARS}, m AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ch ORDER BY pos) AS island FROM c)
-SELECT doc_id, min(pos) AS pos, repeat(ch, count(*)::INTEGER) AS found FROM m WHERE ch IN ('.', '。') GROUP BY doc_id, ch, island HAVING count(*) >= 3"""
+    rf"""WITH {_CHARS}, m AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, ch ORDER BY pos) AS island FROM c WHERE ch IN ('.', '。', '…')), g AS (SELECT doc_id, ch, min(pos) AS pos, count(*) AS n FROM m GROUP BY doc_id, ch, island HAVING (ch <> '…' AND count(*) >= 3) OR (ch = '…' AND count(*) = 1)),
+x AS (SELECT g.*, substr(text, 1, pos) AS before, substr(text, pos + n + 1) AS after FROM g JOIN d ON d.doc_id = g.doc_id), y AS (SELECT *, list_extract(string_split_regex(before, '[\r\n]'), -1) AS prefix, regexp_matches(before, '[{Q.BESIDE}][\s\x{{3000}}]*$') OR regexp_matches(after, '^[\s\x{{3000}}]*[{Q.BESIDE}]') AS near FROM x)
+SELECT doc_id, pos, repeat(ch, n::INTEGER) AS found, '……' AS suggestion FROM y WHERE ch = '。' OR (near AND (ch = '…' OR NOT (regexp_matches(prefix, '=\s*$') OR regexp_matches(prefix, '^\s*(//|/\*)') OR (n >= 5 AND regexp_matches(after, '^ *[0-9]')))))"""
 )
 def ellipses(spark, sf_dir):
-    return S.ellipses(overlay.documents(spark, sf_dir))
+    return Q.marks(overlay.documents(spark, sf_dir), Q.ellipses)
 
 
 # Addresses go first, then paths, which hold no address here; what is left of a text has names outside both.

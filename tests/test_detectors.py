@@ -70,6 +70,7 @@ def test_empty_texts(spark):
         (R.list_density, "- a\n\n- b\n\n- c\n\nd\n\ne", "- a\n\n- b\n\nc\n\nd\n\ne"),
         (R.stacked_politeness, "- 請看\n- 請聽\n- 請說", "- 請看\n- 聽\n- 請說\n- 請來"),
         (R.mechanical_bullets, "1. **a**\n2. **b**\n3. **c**", "1. **a**\n2. b\n3. **c**"),
+        (R.stacked_politeness, "- 請看\n  下一行\n- 請聽\n- 請說", "- 請看\n下一行\n- 請聽\n- 請說"),
         (R.double_dashes, "一——二——三", "一——二\n\n三——四"),
         (R.tricolons, "紅色、白色、黑色。", "紅、白色、黑色。"),
         (R.paragraph_endings, "由此可見\n\n這反映了\n\n不難發現\n\na\n\nb", "由此可見\n\n這反映了\n\na\n\nb\n\nc"),

@@ -234,6 +234,13 @@ def test_masked_quotes():
         (Q.half_width, "數 1,000 好", []),
         (Q.half_width, "好![圖](x)", []),
         (Q.half_width, "（好）,x", [3]),
+        (Q.ranges, "三~五 京-滬 1~2 約~3 好 ~ 壞", [1, 5, 18]),
+        (Q.ranges, "- 好\n好--好", []),
+        (Q.ellipses, "好... a... 。。。 x = ...好 好…… 好… 第一章.....1", [1, 6, 10, 28]),
+        (Q.ellipses, "// 好...", []),
+        (Q.enumerations, "有，甲，乙，丙丁，好的很長啊", [1, 3, 5, 8]),
+        (Q.enumerations, "有，甲，很長的一段話，乙", []),
+        (Q.stops, "好 .\n好..x.好.a", [2]),
         (Q.colons, "他說:好", [2]),
         (Q.colons, "12:30 好", []),
         (Q.colons, "[好]: x", []),

@@ -1,6 +1,7 @@
 import random
 
 from glyphmill.operators import masks as M
+from glyphmill.operators import quotes as Q
 from glyphmill.operators import spans as P
 
 
@@ -95,7 +96,7 @@ def test_overlaps(spark):
 def test_spaces_stops_case_and_composition(spark):
     docs = docs_of(spark, "字 ，a。 b", "好.", "好.b 好..", "GITHUB github5 xgithub GitHub", "é", None, "")
     assert sorted((r.doc_id, r.pos, r.size) for r in P.unwanted_spaces(docs).collect()) == [(0, 1, 1), (0, 5, 1)]
-    assert [(r.doc_id, r.pos) for r in P.half_width_stops(docs).collect()] == [(1, 1)]
+    assert [(r.doc_id, r.pos) for r in Q.marks(docs, Q.stops).collect()] == [(1, 1)]
     assert sorted((r.found, r.suggestion) for r in P.case_issues(docs, {"GitHub": []}).collect()) == [("GITHUB", "GitHub"), ("github", "GitHub")]
     assert {r[0] for r in docs.where("doc_id >= 4").select(P.nfc("text")).collect()} == {"é", None, ""}
 
