@@ -26,6 +26,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(secrets.joined("base_spans").cast("binary"), 256).alias("base_sha256"),
         secrets.joined("spans").alias("spans"),
+        F.array_join(F.transform("random", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"), r["encoding"], r["step"].cast("string"))), ",").alias("random"),
     )
 
 

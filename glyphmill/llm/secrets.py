@@ -123,8 +123,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
-    """(start, end, length class, step of the combined p-value, is null) of long runs, base spans cut out of them.
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, str, bool]]:
+    """(start, end, length class, step of the combined p-value, encoding, is null) of long runs, base spans cut out of them.
 
     Only whole runs are null: what is left beside a base span is part of a longer string.
     """
@@ -138,14 +138,15 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         for a, b in [*pieces, (at, m.end())]:
             if b - a >= LEAST:
                 s = text[a:b]
-                out.append((a, b, sum(len(s) > top for top in LENGTHS), step_of(battery(s)[4]), not pieces and WORD.fullmatch(s) is not None))
+                encoding, *_, together = battery(s)
+                out.append((a, b, sum(len(s) > top for top in LENGTHS), step_of(together), encoding, not pieces and WORD.fullmatch(s) is not None))
     return out
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_CANDIDATE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("length_class", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("null_word", T.BooleanType())]))
+_CANDIDATE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("length_class", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("encoding", T.StringType()), T.StructField("null_word", T.BooleanType())]))
 _ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-_ARROW_CANDIDATE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("length_class", pa.int32()), ("step", pa.int32()), ("null_word", pa.bool_())]))
+_ARROW_CANDIDATE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("length_class", pa.int32()), ("step", pa.int32()), ("encoding", pa.string()), ("null_word", pa.bool_())]))
 
 
 def _kernel(columns: list[pa.Array]) -> list[pa.Array]:
@@ -154,7 +155,7 @@ def _kernel(columns: list[pa.Array]) -> list[pa.Array]:
         text = text.as_py() or ""
         base = base_spans(text)
         spans.append([dict(zip(("start", "kind", "end"), x)) for x in base])
-        found.append([dict(zip(("start", "end", "length_class", "step", "null_word"), x)) for x in candidates(text, base)])
+        found.append([dict(zip(("start", "end", "length_class", "step", "encoding", "null_word"), x)) for x in candidates(text, base)])
     return [pa.array(spans, _ARROW_SPAN), pa.array(found, _ARROW_CANDIDATE)]
 
 
@@ -194,14 +195,15 @@ def thresholds(counts: list[tuple[int, int, bool, int]], rate: float) -> dict[in
 
 
 def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
-    """The columns of ``docs`` but ``text``, and ``base_spans, spans``: sorted arrays of ``(start, kind, end)``.
+    """The columns of ``docs`` but ``text``, ``base_spans, spans`` (sorted arrays of ``(start, kind, end)``), and ``random``.
 
     Offsets are code points, ends exclusive; ``kind`` indexes KINDS.  ``spans`` has the base spans and those of random
-    strings, found with a false discovery rate of ``rate`` in each length class over the whole table.
+    strings, found with a false discovery rate of ``rate`` in each length class over the whole table.  ``random`` tells
+    of each of these strings the encoding and the step of its combined p-value (10 ** -(step / 10) at most).
 
     - Null texts are empty and have no spans; an empty table gives no rows; repeated rows each get their spans.
     - Texts are read whole, however long; base spans are cut out of random strings, and pieces of LEAST characters stay.
-    - Columns named ``base_spans``, ``spans`` or ``found`` are replaced.
+    - Columns named ``base_spans``, ``spans``, ``random`` or ``found`` are replaced.
 
     The text's findings are checkpointed, so texts are read once; what reaches the driver is a table of at most
     2 * (STEPS + 1) * (len(LENGTHS) + 1) counts.
@@ -212,7 +214,8 @@ def scan(docs: DataFrame, rate: float = 0.1) -> DataFrame:
     table = F.array(*[F.lit(last[c]) for c in range(len(LENGTHS) + 1)])
     random = F.filter("found", lambda f: ~f["null_word"] & (f["step"] <= F.element_at(table, f["length_class"] + 1)))
     added = F.transform(random, lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kind"), f["end"].alias("end")))
-    return seen.withColumn("spans", F.array_sort(F.concat("base_spans", added))).drop("found")
+    told = F.transform(random, lambda f: F.struct(*[f[c].alias(c) for c in ("start", "end", "encoding", "step")]))
+    return seen.withColumns({"spans": F.array_sort(F.concat("base_spans", added)), "random": told}).drop("found")
 
 
 def joined(spans: str):

@@ -56,6 +56,8 @@ def test_a_small_table_of_ordinary_prose(spark):
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     at = len(prose) + 1
     assert sum((at, 3, at + 44) in got[i] for i in range(12)) >= 9
+    told = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("size(random) > 0").select("random").collect()
+    assert {x.encoding for r in told for x in r.random} <= {"base62", "base64"} and all(x.step <= 60 for r in told for x in r.random)
     assert not any(got[i] for i in got if i >= 100)
 
 
