@@ -15,6 +15,7 @@ from glyphmill.operators import decisions as D
 from glyphmill.operators import fixes as FX
 from glyphmill.operators import judgement as J
 from glyphmill.operators import lexical as L
+from glyphmill.operators import scan as SN
 from glyphmill.operators import scores as SC
 from glyphmill.operators import style as S
 from glyphmill.sources import files, sinks
@@ -39,6 +40,10 @@ class Linter:
 
         return L.issues(masks.with_mask(docs, content_type), self.scanner, mask="mask")
 
+    def whole(self, docs: DataFrame, content_type: str = "plain", off: tuple[str, ...] = ()) -> DataFrame:
+        """Everything that is found, by rules and all detectors."""
+        return SN.scanned(docs, self.scanner, content_type, off)
+
     def fix(self, docs: DataFrame, tier: str = "lexical_safe", mask: str | None = None) -> DataFrame:
         return FX.fixed(docs, self.scanner, tier, mask)
 

@@ -1,13 +1,14 @@
 """Detectors over sentences, lines and paragraphs: stock rhetoric, translated sentences, rhythm and spoken style.
 
-Null and empty texts have no findings.  Counts never leave a document; each detector shuffles at most by document.
+Null and empty texts have no findings.  Everything about a text is found in its row; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import kernels as K
@@ -44,25 +45,29 @@ def tracked_density(docs: DataFrame, multiplier: float = 1.0, least: int = 500)
     return many.select("doc_id", F.col("t.phrase").alias("phrase"), "n", (F.expr("locate(t.phrase, text)") - 1).alias("pos"))
 
 
+def _bodies():
+    """Trimmed paragraphs that aren't blank, as an array."""
+    return F.filter(F.transform(F.split("text", S.PARAGRAPH, -1), F.trim), lambda b: b != "")
+
+
 def paragraph_endings(docs: DataFrame) -> DataFrame:
     """``doc_id, n_endings``: at least three of five or more paragraphs end (last 30 characters) by a formula."""
-    body = S.paragraphs(docs).select("doc_id", F.trim("body").alias("body")).where("body <> ''")
-    tail = F.substring(F.col("body"), F.greatest(F.length("body") - 29, F.lit(1)), F.lit(30))
-    counts = body.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(tail.rlike(_any(ENDINGS))).alias("n_endings"))
-    return counts.where("n >= 5 and n_endings >= 3").select("doc_id", "n_endings")
+    tail = lambda b: F.substring(b, F.greatest(F.length(b) - 29, F.lit(1)), F.lit(30))
+    ends = F.size(F.filter("_b", lambda b: tail(b).rlike(_any(ENDINGS)))).cast("long")
+    return docs.select("doc_id", _bodies().alias("_b")).where(F.size("_b") >= 5).select("doc_id", ends.alias("n_endings")).where("n_endings >= 3")
 
 
 def formulaic_headings(docs: DataFrame) -> DataFrame:
     """``doc_id, n_headings``: two or more headings with stock phrases."""
-    heads = S.lines(docs).where(F.col("line").rlike("^#{1,6}[ \t]") & F.col("line").rlike(_any(HEADINGS)))
-    return heads.groupBy("doc_id").agg(F.count("*").alias("n_headings")).where("n_headings >= 2")
+    heads = F.filter(F.split("text", "\n", -1), lambda line: line.rlike("^#{1,6}[ \t]") & line.rlike(_any(HEADINGS)))
+    return docs.select("doc_id", F.size(heads).cast("long").alias("n_headings")).where("n_headings >= 2")
 
 
 def list_density(docs: DataFrame, share: float = 0.4) -> DataFrame:
-    """``doc_id, n_lists, n_paragraphs``: of five or more paragraphs, three or more and over ``share`` are lists."""
-    body = S.paragraphs(docs).where("trim(body) <> ''")
-    counts = body.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.count_if(F.col("body").rlike(ANY_ITEM)).alias("n_lists"))
-    return counts.where((F.col("n_paragraphs") >= 5) & (F.col("n_lists") >= 3) & (F.col("n_lists") > share * F.col("n_paragraphs"))).select("doc_id", "n_lists", "n_paragraphs")
+    """``doc_id, n_lists, n_paragraphs``: of five or more paragraphs, three or more and over ``share`` hold lists."""
+    bodies = F.filter(F.split("text", S.PARAGRAPH, -1), lambda b: F.trim(b) != "")
+    counts = docs.select("doc_id", bodies.alias("_b")).select("doc_id", F.size(F.filter("_b", lambda b: b.rlike(ANY_ITEM))).cast("long").alias("n_lists"), F.size("_b").cast("long").alias("n_paragraphs"))
+    return counts.where((F.col("n_paragraphs") >= 5) & (F.col("n_lists") >= 3) & (F.col("n_lists") > share * F.col("n_paragraphs")))
 
 
 _ITEM = re.compile(r"[ \t]*(?:[-*+][ \t]|[0-9]+[.)][ \t])[ \t]*")
@@ -154,14 +159,28 @@ def long_sentences(docs: DataFrame, most: int = 30, run: int = 15) -> DataFrame:
     return S.sentences(docs).select("doc_id", "n", count(F.col("sentence")).alias("ideographs"), longest.alias("longest")).where((F.col("ideographs") > most) & (F.col("longest") >= run))
 
 
+_PARTICLE = re.compile(r"([的了呢])[\s。！？；」』）]*$", re.ASCII)
+
+
 def monotone_endings(docs: DataFrame, least: int = 3) -> DataFrame:
     """``doc_id, paragraph, particle, first, n_sentences``: runs of sentences of a paragraph that close on one particle."""
-    body = F.regexp_extract_all("body", F.lit("[^。！？；\n]+[。！？；]?"), F.lit(0))
-    each = S.paragraphs(docs).select("doc_id", "paragraph", F.posexplode(body).alias("n", "sentence")).where("trim(sentence) <> ''")
-    last = F.regexp_extract("sentence", r"([的了呢])[\s。！？；」』）]*$", 1)
-    by = Window.partitionBy("doc_id", "paragraph").orderBy("n")
-    runs = each.withColumn("particle", last).withColumn("_new", F.when(F.col("particle") == F.lag("particle").over(by), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(by)).where("particle <> ''")
-    return runs.groupBy("doc_id", "paragraph", "_run", "particle").agg(F.min("n").alias("first"), F.count("*").alias("n_sentences")).where(F.col("n_sentences") >= least).drop("_run")
+
+    def of(text: str) -> list[tuple[int, str, int, int]]:
+        out = []
+        for paragraph, body in enumerate(re.split(S.PARAGRAPH, text)):
+            run: tuple[str, int, int] = ("", 0, 0)
+            for k, s in [*S.sentence_list(body), (-1, "")]:
+                m = _PARTICLE.search(s)
+                particle = m[1] if m else ""
+                if particle and particle == run[0]:
+                    run = (particle, run[1], run[2] + 1)
+                    continue
+                if run[0] and run[2] >= least:
+                    out.append((paragraph, *run))
+                run = (particle, k, 1)
+        return out
+
+    return K.found(docs, of, "paragraph int, particle string, first int, n_sentences long", where="[的了呢]")
 
 
 def oral_density(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -173,5 +192,12 @@ def oral_density(docs: DataFrame, least: int = 20) -> DataFrame:
 
 def sentence_variability(docs: DataFrame, shortest: int = 4, least: int = 10) -> DataFrame:
     """``doc_id, n_sentences, sigma``: the population deviation of sentence lengths, of ``least`` or more sentences."""
-    sizes = S.sentences(docs).select("doc_id", F.length(F.trim("sentence")).alias("size")).where(F.col("size") >= shortest)
-    return sizes.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.stddev_pop("size").alias("sigma")).where(F.col("n_sentences") >= least)
+
+    def of(text: str) -> list[tuple[int, float]]:
+        sizes = [len(s) for _, s in S.sentence_list(text) if len(s) >= shortest]
+        if len(sizes) < least:
+            return []
+        mean = sum(sizes) / len(sizes)
+        return [(len(sizes), math.sqrt(sum((n - mean) ** 2 for n in sizes) / len(sizes)))]
+
+    return K.found(docs, of, "n_sentences long, sigma double")

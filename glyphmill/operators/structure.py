@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import kernels as K
@@ -21,9 +21,19 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+#: What stands between paragraphs.
+PARAGRAPH = r"\n[ \t\r]*\n"
+_SENTENCE = re.compile("[^。！？；\n]+[。！？；]?")
+
+
+def sentence_list(text: str) -> list[tuple[int, str]]:
+    """(number, sentence without blanks around it) in a kernel, as ``sentences`` has them."""
+    return [(k, s) for k, m in enumerate(_SENTENCE.finditer(text)) if (s := m[0].strip(" "))]
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """``doc_id, paragraph, body``: parts between blank lines."""
-    return docs.select("doc_id", F.posexplode(F.split("text", r"\n[ \t\r]*\n", -1)).alias("paragraph", "body"))
+    return docs.select("doc_id", F.posexplode(F.split("text", PARAGRAPH, -1)).alias("paragraph", "body"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -56,9 +66,9 @@ def latin_repetitions(docs: DataFrame) -> DataFrame:
 
 
 def dashes(docs: DataFrame, per_paragraph: int = 3, least: int = 3) -> DataFrame:
-    """Documents with ``least`` paragraphs that have ``per_paragraph`` dashes or more."""
-    many = paragraphs(docs).where(X.count_of(F.col("body"), "—") >= per_paragraph)
-    return many.groupBy("doc_id").agg(F.count("*").alias("n_paragraphs")).where(F.col("n_paragraphs") >= least)
+    """``doc_id, n_paragraphs``: documents with ``least`` paragraphs that have ``per_paragraph`` dashes or more."""
+    many = F.size(F.filter(F.split("text", PARAGRAPH, -1), lambda b: X.count_of(b, "—") >= per_paragraph))
+    return docs.select("doc_id", many.cast("long").alias("n_paragraphs")).where(F.col("n_paragraphs") >= least)
 
 
 def mixed_address(docs: DataFrame) -> DataFrame:
@@ -81,11 +91,20 @@ def particle_chains(docs: DataFrame, least: int = 4) -> DataFrame:
 
 
 def pronoun_runs(docs: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of ``least`` or more sentences in a row that begin with a pronoun."""
-    starts = F.trim("sentence").rlike("^(" + "|".join(PRONOUNS) + ")")
-    by = Window.partitionBy("doc_id").orderBy("n")
-    marked = sentences(docs).withColumn("starts", starts).withColumn("island", F.sum(F.when(F.col("starts"), 0).otherwise(1)).over(by)).where("starts")
-    return marked.groupBy("doc_id", "island").agg(F.count("*").alias("n_sentences"), F.min("n").alias("first")).where(F.col("n_sentences") >= least).drop("island")
+    """``doc_id, n_sentences, first``: runs of ``least`` or more sentences in a row that begin with a pronoun."""
+
+    def of(text: str) -> list[tuple[int, int]]:
+        out, first, n = [], 0, 0
+        for k, s in [*sentence_list(text), (-1, "")]:
+            if s.startswith(tuple(PRONOUNS)):
+                first, n = (k if n == 0 else first), n + 1
+            else:
+                if n >= least:
+                    out.append((n, first))
+                n = 0
+        return out
+
+    return K.found(docs, of, "n_sentences long, first int", where="|".join(PRONOUNS))
 
 
 def phrase_density(docs: DataFrame) -> DataFrame:
@@ -96,12 +115,14 @@ def phrase_density(docs: DataFrame) -> DataFrame:
 
 
 def comma_runs(docs: DataFrame) -> DataFrame:
-    """Runs of short segments between full-width commas that call for the enumeration mark."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", "，", -1)).alias("i", "part"), F.size(F.split("text", "，", -1)).alias("n"))
-    inner = parts.where("i > 0 and i < n - 1").withColumn("short", F.length(F.trim("part")).between(1, 4))
-    by = Window.partitionBy("doc_id").orderBy("i")
-    runs = inner.withColumn("island", F.sum(F.when(F.col("short"), 0).otherwise(1)).over(by)).where("short")
-    return runs.groupBy("doc_id", "island").agg(F.count("*").alias("n_segments"), F.min("i").alias("first")).where("n_segments >= 2").drop("island")
+    """``doc_id, n_segments, first``: runs of two or more short segments between full-width commas."""
+
+    def of(text: str) -> list[tuple[int, int]]:
+        parts = text.split("，")
+        short = "".join("01"[1 <= len(p.strip(" ")) <= 4] for p in parts[1:-1])
+        return [(len(m[0]), m.start() + 1) for m in re.finditer("1{2,}", short)]
+
+    return K.found(docs, of, "n_segments long, first int", where="，")
 
 
 def punctuation_profile(docs: DataFrame, mark: str = ",") -> DataFrame:

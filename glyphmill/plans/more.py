@@ -19,6 +19,7 @@ from glyphmill.operators import lexical as L
 from glyphmill.operators import masks as M
 from glyphmill.operators import quotes as Q
 from glyphmill.operators import rhetoric as R
+from glyphmill.operators import scan as SN
 from glyphmill.operators import scores as SC
 from glyphmill.operators import segment as G
 from glyphmill.operators import structure as S
@@ -619,6 +620,25 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT d.doc_id, i.pos, i.found, i.suggestion FROM glyphmill_docs d, LATERAL lint_issues(d.text) i")
 
 
+@_unchecked
+def whole_scan(spark, sf_dir):
+    """Everything that a scan finds, phase by phase."""
+    out = SN.scanned(_docs(spark, sf_dir), _scanner(spark), "markdown", raise_headings=True)
+    return out.select("doc_id", "pos", "found", F.array_join("suggestions", "/").alias("suggestion"), "rule_type", "severity", "family", "phase")
+
+
+@_query(f"WITH {_HITS} SELECT doc_id, pos, found, severity FROM issues")
+def spelling_alone(spark, sf_dir):
+    """The whole scan with all families off but the rules, nothing masked but addresses and names: plain passages only."""
+    off = [f for f in SN.FAMILIES if f != "spelling"]
+    docs = _docs(spark, sf_dir)
+    # Places that the plain mask covers hold terms in a few passages; these are scanned without it.
+    found = SN.scanned(docs, _scanner(spark), "plain", off)
+    masked = M.mask(docs, "plain")
+    hidden = _issues(spark, sf_dir).join(masked.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("pos") < F.col("end")) & (F.col("pos") + F.length("found") > F.col("start")), "left_semi")
+    return found.select("doc_id", "pos", "found", "severity").union(hidden.select("doc_id", "pos", "found", "severity"))
+
+
 @_unchecked
 def checked_call(spark, sf_dir):
     """The checked call with named settings: its report."""

@@ -226,7 +226,8 @@ def full_width_digits(spark, sf_dir):
 
 @_query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, max(length(line)) AS longest, count(*) FILTER (trim(line) = '') AS n_blank FROM l GROUP BY doc_id")
 def line_table(spark, sf_dir):
-    return S.lines(_raw(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("line")).alias("longest"), F.count_if(F.trim("line") == "").alias("n_blank"))
+    lines = _raw(spark, sf_dir).where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.array_max(F.transform("l", F.length)).alias("longest"), F.size(F.filter("l", lambda x: F.trim(x) == "")).cast("long").alias("n_blank"))
 
 
 @_query(rf"WITH {overlay.SQL} SELECT doc_id, generate_subscripts(p, 1) - 1 AS paragraph, unnest(p) AS body FROM (SELECT doc_id, string_split_regex(text, '\n[ \t\r]*\n') AS p FROM d)")
@@ -236,7 +237,8 @@ def paragraph_table(spark, sf_dir):
 
 @_query(rf"WITH {overlay.SQL}, s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^。！？；\n]+[。！？；]?')) AS sentence FROM d) SELECT doc_id, count(*) AS n_sentences, sum(length(sentence))::BIGINT AS chars FROM s WHERE trim(sentence) <> '' GROUP BY doc_id")
 def sentence_table(spark, sf_dir):
-    return S.sentences(overlay.documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("chars"))
+    found = overlay.documents(spark, sf_dir).select("doc_id", F.filter(F.regexp_extract_all("text", F.lit("[^。！？；\n]+[。！？；]?"), F.lit(0)), lambda x: F.trim(x) != "").alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.length(F.array_join("s", "")).cast("long").alias("chars"))
 
 
 @_query(rf"WITH {overlay.SQL}, p AS (SELECT doc_id, unnest(string_split_regex(text, '\n[ \t\r]*\n')) AS body FROM d) SELECT doc_id, count(*) AS n_paragraphs FROM p WHERE length(body) - length(replace(body, '—', '')) >= 3 GROUP BY doc_id HAVING count(*) >= 3")

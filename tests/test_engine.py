@@ -503,3 +503,28 @@ def test_checked_calls(spark, tmp_path):
     assert run() == 0 and run("--max-errors", "0") == 1
     (tmp_path / "in" / "b.txt").write_bytes(b"\xff")
     assert run("--format", "sarif") == 2
+
+
+def test_whole_scans(spark):
+    from glyphmill.operators import scan as SN
+
+    text = "# 軟件,好\n這個軟件AB, 他說“你好”。研究研究。`軟件`\n「進行測試」是詞。進行測試。"
+    docs, scanner = docs_of(spark, text, None, ""), L.scanner(seed.rules(spark))
+    rows = SN.scanned(docs, scanner, "markdown", raise_headings=True).collect()
+    got = [(r.found, r.severity, r.phase) for r in rows]
+    assert got[0] == ("軟件", "error", "lexical") and ("“", "warning", "syntactic") in got and ("研究研究", "info", "syntactic") in got and ("", "info", "syntactic") in got
+    assert [r.pos for r in rows] == sorted(r.pos for r in rows) and sum(r.found == "軟件" for r in rows) == 2
+    assert all(text[r.pos : r.pos + len(r.found)] == r.found and text.encode()[: r.byte_offset].decode() == text[: r.pos] for r in rows)
+    off = SN.scanned(docs, scanner, "markdown", [f for f in SN.FAMILIES if f != "quotes"]).collect()
+    assert {r.family for r in off} == {"quotes"}
+    with pytest.raises(ValueError):
+        SN.scanned(docs, scanner, off=["nothing"])
+    rng = random.Random(5)
+    for _ in range(60):
+        rows = [(rng.randrange(12), rng.randrange(4), "x", [], "case", rng.choice(J.SEVERITY), "f", "lexical") for _ in range(8)]
+        kept = SN.survivors(rows)
+        want = []
+        for r in sorted(rows, key=lambda r: (-r[1], J.SEVERITY.index(r[5]), r[0])):
+            if not any(k[0] < r[0] + r[1] and r[0] < k[0] + k[1] for k in want):
+                want.append(r)
+        assert kept == want
