@@ -1,8 +1,8 @@
 import pytest
 
 import corpus_pipeline as P
-from glyphmill.llm import quality
-from tests.llm import test_contamination, test_lines, test_minhash
+from glyphmill.llm import mixing, quality
+from tests.llm import test_contamination, test_lines, test_minhash, test_mixing
 
 
 def test_stages(spark, sf):
@@ -29,7 +29,10 @@ def test_stages(spark, sf):
                 assert hit or rows[i].text == text
         docs, before = spark.createDataFrame(list(rows.values()), docs.schema), rows
     mixed = P.mixing_stage(spark, docs, sf).collect()
-    assert {r.doc_id for r in mixed} <= set(before)
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in before.values()]
+    want, _, _ = test_mixing.brute(rows, mixing.SHARE, mixing.EPOCHS, mixing.SEED, (mixing.DOMAIN_WEIGHTS, mixing.LANGUAGE_WEIGHTS))
+    assert sorted(((r.doc_id, r.epoch) for r in mixed), key=repr) == want
+    assert all(r.text == before[r.doc_id].text for r in mixed)
 
 
 def test_held_out_quality(spark):
@@ -56,6 +59,37 @@ def test_repeated_rows_are_one(spark):
     assert sorted((r.doc_id or 0) for r in P.near_stage(spark, docs, "").collect()) == [0, 1]
 
 
+def test_scores_against_loops(spark):
+    """The model's score of every document by plain loops over its passages."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from glyphmill.llm import words as W
+
+    rng = np.random.default_rng(4)
+    texts = ["", "one two three", "Word! " * 200, "\n".join(f"line {i} é$" for i in range(90)), None]
+    model = quality.Model(np.full(quality.FEATURES, 0.1), np.ones(quality.FEATURES))
+    model.w = {k: rng.normal(0, 0.5, v.shape) for k, v in model.w.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for i, text in enumerate(texts):
+        (chunk,) = W.chunks(pa.array([text], pa.string()))
+        bag, _ = quality.passages(chunk)
+        hidden, energy = [], []
+        for x in bag.astype(np.float64):
+            h = np.tanh(np.clip((x - model.mean) / model.scale, -6, 6) @ model.w["encode"] + model.w["encode_0"])
+            t, s = np.tanh(h @ model.w["tanh"]), np.array([sigmoid(v) for v in h @ model.w["gate"]])
+            hidden.append(h)
+            energy.append(float((t * s) @ model.w["attend"]))
+        weights = np.exp(np.array(energy) - max(energy))
+        weights /= weights.sum()
+        z = sum(a * h for a, h in zip(weights, hidden))
+        assert got[i] == pytest.approx(sigmoid(float(z @ model.w["score"] + model.w["score_0"][0])), abs=1e-9)
+
+
 def test_gradient():
     import numpy as np
 
