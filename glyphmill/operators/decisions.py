@@ -20,10 +20,17 @@ def latest_decisions(memory: DataFrame) -> DataFrame:
     return memory.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
-def with_memory(issues: DataFrame, memory: DataFrame) -> DataFrame:
-    """Terms that the user last chose to keep become Info; punctuation and machine-style issues are immune."""
+#: Types that a translation memory has no say in.
+IMMUNE = ["punctuation", "case", "variant", "grammar", "ai_style"]
+
+
+def with_memory(issues: DataFrame, memory: DataFrame, banned: DataFrame | None = None) -> DataFrame:
+    """Terms that the user last chose to keep become Info; orthographic and machine-style issues are immune, and so are
+    terms that a glossary ``banned(term)`` forbids."""
     kept = latest_decisions(memory).where("user_chose = found").select("found", F.lit(True).alias("_kept"))
-    immune = F.col("rule_type").isin("punctuation", "ai_style")
+    if banned is not None:
+        kept = kept.join(banned.select(F.col("term").alias("found")), "found", "left_anti")
+    immune = F.col("rule_type").isin(IMMUNE)
     return issues.join(kept, "found", "left").withColumn("severity", F.when(F.coalesce("_kept", F.lit(False)) & ~immune, "info").otherwise(F.col("severity"))).drop("_kept")
 
 

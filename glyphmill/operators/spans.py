@@ -114,6 +114,12 @@ def tabular(issues: DataFrame) -> DataFrame:
     return issues.select("doc_id", F.concat_ws("\t", *cells).alias("row"))
 
 
+def unreported(issues: DataFrame, before: DataFrame) -> DataFrame:
+    """``doc_id, digest`` of documents whose findings differ from what ``before(doc_id, digest)`` tells was reported last."""
+    now = digests(issues)
+    return now.join(before.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
+
+
 def digests(issues: DataFrame) -> DataFrame:
     """``doc_id, digest`` of a document's findings, whatever their order: equal digests need no second report."""
     keys = F.array_sort(F.collect_list(F.concat_ws("|", F.col("pos").cast("string"), "rule_type", "found")))

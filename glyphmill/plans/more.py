@@ -214,6 +214,25 @@ def fix_verdicts(spark, sf_dir):
     return FX.verdicts(_docs(spark, sf_dir), L.scanner(seed.features(spark), words=set(WORDS)), "lexical_safe")
 
 
+@_query(f"WITH {_HITS} SELECT DISTINCT doc_id FROM issues WHERE doc_id % 2 = 1 OR found = '信息'")
+def unreported_documents(spark, sf_dir):
+    """Reported before: the even documents, without one of the terms."""
+    from glyphmill.operators import spans
+
+    found = _issues(spark, sf_dir)
+    return spans.unreported(found, spans.digests(found.where("doc_id % 2 = 0 and found <> '信息'"))).select("doc_id")
+
+
+@_query(f"WITH {_HITS} SELECT doc_id, pos, CASE WHEN found = '軟件' THEN 'info' ELSE severity END AS severity FROM issues")
+def memory_and_glossary(spark, sf_dir):
+    """Kept terms are info, but not one that the glossary bans."""
+    from glyphmill.operators import decisions as D
+
+    memory = spark.createDataFrame([("軟件", "軟件", "2024-01-01"), ("視頻", "視頻", "2024-01-01")], "found string, user_chose string, timestamp string")
+    banned = spark.createDataFrame([("視頻",)], "term string")
+    return D.with_memory(_issues(spark, sf_dir), memory, banned).select("doc_id", "pos", "severity")
+
+
 @_unchecked
 def rescanned_issues(spark, sf_dir):
     return FX.rescanned(_docs(spark, sf_dir), _scanner(spark)).select("doc_id", "pos", "found", "severity", "old_pos")
