@@ -123,19 +123,36 @@ _PAIRS = "a_doc long, a_line int, b_doc long, b_line int"
 
 
 class _Group:
-    """Columns of rows sorted by token, tiles and n; whole groups only.  Without tiles, or targets, all is one tile, or target."""
+    """Columns of rows sorted by token, tiles and n; whole groups only.  Without tiles, or targets, all is one tile, or target.
 
-    def __init__(self, table: pa.Table):
-        column = lambda name, default: table.column(name).to_numpy() if name in table.column_names else np.full(len(table), default)
+    ``stop``: the row up to which those behind a row are in its group and not too long for it; ``left``: words from a
+    row's token on; ``least``: common words needed, by the sum of two sizes.
+    """
+
+    def __init__(self, table: pa.Table, percent: int):
         self.token, self.doc, self.line, self.bits, at = (table.column(x).to_numpy() for x in ("token", "doc_id", "line_no", "bits", "at"))
-        self.i, self.j, self.tile, self.target = column("i", 0), column("j", 0), column("tile", 0), column("target", True)
+        self.target = table.column("target").to_numpy() if "target" in table.column_names else None
         self.bits = self.bits.view(np.uint64)
-        self.n, self.pos = at >> 32, at & 0xFFFFFFFF
+        self.n = at >> 32
+        self.left = self.n - (at & 0xFFFFFFFF)
+        changed = self.token[1:] != self.token[:-1]
+        self.tile = None
+        if "i" in table.column_names:
+            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+            changed |= (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            self.tile, self.apart = table.column("tile").to_numpy(), i != j
+        group = np.append(0, np.cumsum(changed))
+        self.stop = np.searchsorted((group << 32) | self.n, (group << 32) | np.minimum(100 * self.n // percent, (1 << 32) - 1), "right")
+        self.sums = need(percent, np.arange(2 * int(self.n.max(initial=0)) + 1), 0) if self.n.max(initial=0) < 1 << 22 else None
+        self.percent = percent
+
+    def least(self, sums: np.ndarray) -> np.ndarray:
+        return need(self.percent, sums, 0) if self.sums is None else self.sums[sums]
 
 
 def _candidates(table: pa.Table, percent: int, most: int) -> pa.RecordBatch:
     """Pairs of an earlier and a later line that pass all filters; a row with no earlier line where ``most`` were full."""
-    g = _Group(table)
+    g = _Group(table, percent)
     rows = len(g.n)
     met = np.zeros(rows, dtype=np.int64)
     early, late = [], []
@@ -143,19 +160,21 @@ def _candidates(table: pa.Table, percent: int, most: int) -> pa.RecordBatch:
     active = np.arange(rows)
     step = 1
     while len(active):
-        active = active[active + step < rows]
-        x, y = active, active + step  # n[x] <= n[y]
-        same = (g.token[x] == g.token[y]) & (g.i[x] == g.i[y]) & (g.j[x] == g.j[y]) & (100 * g.n[x] >= percent * g.n[y])
-        active = x = x[same]
-        y = x + step
-        least = need(percent, g.n[x], g.n[y])
-        fit = (np.minimum(g.n[x] - g.pos[x], g.n[y] - g.pos[y]) >= least) & ((g.i[x] == g.j[x]) | (g.tile[x] != g.tile[y]))
-        x, y, least = x[fit], y[fit], least[fit]
-        fit = np.bitwise_count(g.bits[x] ^ g.bits[y]) <= g.n[x] + g.n[y] - 2 * least
+        active = x = active[active + step < g.stop[active]]
+        y = x + step  # n[x] <= n[y]
+        sums = g.n[x] + g.n[y]
+        least = g.least(sums)
+        fit = np.minimum(g.left[x], g.left[y]) >= least
+        if g.tile is not None:
+            fit &= ~g.apart[x] | (g.tile[x] != g.tile[y])
+        x, y, room = x[fit], y[fit], (sums - 2 * least)[fit]
+        fit = np.bitwise_count(g.bits[x] ^ g.bits[y]) <= room
         x, y = x[fit], y[fit]
         first = (g.doc[x] < g.doc[y]) | ((g.doc[x] == g.doc[y]) & (g.line[x] < g.line[y]))
         x, y = np.where(first, x, y), np.where(first, y, x)
-        fit = g.target[y] & ((g.doc[x] != g.doc[y]) | (g.line[x] != g.line[y]))  # repeated rows are no pair
+        fit = (g.doc[x] != g.doc[y]) | (g.line[x] != g.line[y])  # repeated rows are no pair
+        if g.target is not None:
+            fit &= g.target[y]
         x, y = x[fit], y[fit]
         if most:
             order = np.argsort(y, kind="stable")  # a target occurs twice at most in a step
@@ -368,6 +387,6 @@ def dedup_lines(docs: DataFrame, percent: int = 85, least: int = 5) -> DataFrame
     stay = F.element_at(F.transform(F.array(all_lines), lambda every: F.array_join(F.transform(numbers, lambda i: F.get(every, i)), "\n")), 1)
     return (
         joined.withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
-        .withColumn("n_lines", F.coalesce(1 + F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)).cast("long"))
+        .withColumn("n_lines", F.coalesce(1 + F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.size("removed_lines") > 0, stay).otherwise(F.col("text")))
     )
