@@ -216,15 +216,15 @@ def explained(issues: DataFrame) -> DataFrame:
     level = F.coalesce("confidence", guessed)
     quoted, targets = F.concat(F.lit("'"), F.col("found"), F.lit("'")), _list("suggestions")
     text = (
-        F.when((kind == "cross_strait") & (english != ""), F.concat(quoted, F.lit(" is a mainland term for '"), english, F.lit("'; Taiwan uses '"), targets, F.lit("'.")))
-        .when(kind == "cross_strait", F.concat(quoted, F.lit(" is a mainland expression; Taiwan standard: "), targets, F.lit(".")))
-        .when(kind == "confusable", F.concat(quoted, F.lit(" is ambiguous across the strait. English anchor: '"), english, F.lit("'. Taiwan form: "), targets, F.lit(".")))
-        .when(kind == "political_coloring", F.concat(quoted, F.lit(" carries political connotations; prefer "), targets, F.lit(".")))
-        .when(kind == "variant", F.concat(quoted, F.lit(" is a non-standard variant; standard form: "), targets, F.lit(".")))
-        .when(kind == "typo", F.concat(quoted, F.lit(" appears to be a typo; suggested: "), targets, F.lit(".")))
-        .when(F.size("suggestions") == 0, F.concat(quoted, F.lit(" is advice only.")))
-        .when(targets == "", F.concat(quoted, F.lit(": consider removing or rephrasing.")))
-        .otherwise(F.concat(quoted, F.lit(": suggested "), targets, F.lit(".")))
+        F.when((kind == "cross_strait") & (english != ""), F.concat(quoted, F.lit(" stands for "), english, F.lit(" elsewhere; in Taiwan: "), targets))
+        .when(kind == "cross_strait", F.concat(quoted, F.lit(" is said elsewhere; in Taiwan: "), targets))
+        .when(kind == "confusable", F.concat(quoted, F.lit(" means different things on either side; for "), english, F.lit(" in Taiwan: "), targets))
+        .when(kind == "political_coloring", F.concat(quoted, F.lit(" takes a side; neutral: "), targets))
+        .when(kind == "variant", F.concat(quoted, F.lit(" is another form of "), targets))
+        .when(kind == "typo", F.concat(quoted, F.lit(" should read "), targets))
+        .when(F.size("suggestions") == 0, F.concat(quoted, F.lit(": advice, nothing to write")))
+        .when(targets == "", F.concat(quoted, F.lit(": can go")))
+        .otherwise(F.concat(quoted, F.lit(": "), targets))
     )
     return issues.withColumns(
         {

@@ -30,7 +30,7 @@ HEDGES = ["在某種程度上", "從某個角度來看", "可以說是", "相對
 ATTRIBUTIONS = ["研究顯示", "研究表明", "專家認為", "專家指出", "有研究指出", "數據顯示", "業內人士認為"]
 PREPOSITIONS = ["根據", "依據", "按照", "援引", "引述"]
 ORGANISATIONS = ["署", "院", "部", "處", "局", "會", "所", "中心", "大學", "公司", "團隊", "實驗室"]
-GENRES = {"casual": "vague authority attribution; name the source or rewrite the clause without it", "technical": "citation missing for this authority attribution; name the source (do not invent one)"}
+GENRES = {"casual": "an unnamed authority: say who it is, or say it without one", "technical": "an authority without a citation: give the source that there is"}
 DOMAINS = {
     "general": {"passive": 3.0, "weak_verb": 2.0, "pronoun": 8.0, "chain": 4, "issues": 5.0, "one_of": 2.0, "heads": 3, "span": 15, "particles": 2},
     "technical": {"passive": 6.0, "weak_verb": 4.0, "pronoun": 6.0, "chain": 5, "issues": 7.0, "one_of": 3.0, "heads": 4, "span": 18, "particles": 2},
