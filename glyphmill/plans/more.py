@@ -27,7 +27,7 @@ from glyphmill.operators import style as ST
 from glyphmill.plans import overlay, seed
 from glyphmill.plans.detectors import _LINES, _PARAGRAPHS, _q
 from glyphmill.plans.marks import _spans_sql, _unchecked
-from glyphmill.plans.registry import _CHARS, _HITS, _ISSUES, _MARKS, _issues, _query, _raw, hits_sql
+from glyphmill.plans.registry import _CHARS, _CLUE, _DELETES, _HITS, _ISSUES, _MARKS, _issues, _query, _raw, hits_sql
 from glyphmill.sources import sinks, stores
 
 WORDS = ["累積", "分佈"]
@@ -333,12 +333,21 @@ def _style(detector):
     return of
 
 
-for _f in (ST.section_endings, ST.excessive_bold, ST.repeated_slogans, ST.self_questions, ST.uncited_attributions, ST.invisible, ST.long_premodifiers):
+for _f in (ST.section_endings, ST.excessive_bold, ST.repeated_slogans, ST.self_questions, ST.uncited_attributions, ST.long_premodifiers):
     _g = _style(_f)
-    _g.__name__ = {"invisible": "invisible_characters"}.get(_f.__name__, _f.__name__)
+    _g.__name__ = _f.__name__
     _unchecked(_g)
 
 
+# The texts hold no flags and no joiners of Indic scripts; those are in the tests.
+@_query(
+    rf"""WITH {_CHARS}, n AS (SELECT *, coalesce(lag(ch) OVER w, '') AS l, coalesce(lead(ch) OVER w, '') AS r FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), i AS (SELECT * FROM n WHERE regexp_matches(ch, '[{ST.INVISIBLE}]') AND NOT regexp_matches(ch, '[\x{{200E}}\x{{200F}}]'))
+SELECT doc_id, pos, ch AS found FROM i WHERE CASE WHEN ch = chr(65279) THEN pos > 0 WHEN ch = chr(8204) THEN NOT (regexp_matches(l, '[{ST.ARABIC}]') AND regexp_matches(r, '[{ST.ARABIC}]')) WHEN ch = chr(8205) THEN NOT (regexp_matches(l, '[{ST.EMOJI}]') AND regexp_matches(r, '[{ST.EMOJI}]')) WHEN regexp_matches(ch, '[\x{{E0100}}-\x{{E01EF}}]') THEN NOT regexp_matches(l, '[{X.IDEOGRAPH}]') ELSE true END"""
+)
+def invisible_characters(spark, sf_dir):
+    return ST.findings(_docs(spark, sf_dir), [ST.invisible]).select("doc_id", "pos", "found")
+
+
 def _first(words: list[str], column: str) -> str:
     """(word) the first of ``words``, in their order, that occurs in a column."""
     return "CASE " + " ".join(f"WHEN contains({column}, '{w}') THEN '{w}'" for w in words) + " END"
@@ -498,13 +507,26 @@ def sentence_places(spark, sf_dir):
 
 # ---- judgement and stores
 
-@_unchecked
+_COLLOCATED = "CASE " + " ".join(f"WHEN term = '{t}' AND contains(near_text, '{w}') THEN '{to}'" for t, w, to in J.COLLOCATIONS) + " END"
+_VETOED = " OR ".join(f"(term = '{t}' AND regexp_matches(near_text, '{'|'.join(words)}'))" for t, words in J.VETOES.items())
+_PRIOR = lambda k: "CASE term " + " ".join(f"WHEN '{t}' THEN {_q(v[0]) if k == 0 else v[1]}" for t, v in J.PREFERRED["strict"].items()) + f" ELSE {'NULL' if k == 0 else 0} END"
+_JUDGED = f"""{_FOUND}, e AS (SELECT *, CASE WHEN {_DELETES} THEN target ELSE list_filter(target, lambda t: t <> '') END AS sugg, l || term || r AS near_text FROM kept
+  WHERE (len(clues) = 0 OR len(list_filter(clues, lambda x: {_CLUE})) > 0) AND len(list_filter(negative_clues, lambda x: {_CLUE})) = 0),
+p AS (SELECT *, type IN ('cross_strait', 'confusable') AND (len(sugg) > 1 OR len(clues) > 0 OR term IN ({', '.join(map(_q, J.VETOES))})) AS able, {_COLLOCATED} AS coll, {_VETOED} AS veto, {_PRIOR(0)} AS liked, {_PRIOR(1)}::DOUBLE AS prior, len(list_filter(clues, lambda x: contains(near_text, x))) AS n FROM e),
+w AS (SELECT *, CASE WHEN n > 0 THEN least(0.7, 0.3 + 0.4 * n / len(clues)::DOUBLE) ELSE 0 END AS clue FROM p), s AS (SELECT *, round(least(1.0, clue + prior), 9) AS raw FROM w),
+v AS (SELECT *, CASE WHEN NOT able THEN NULL WHEN coalesce(list_contains(sugg, coll), false) THEN 'collocation' WHEN veto THEN 'suppressed' WHEN raw >= {J.DECIDED} THEN CASE WHEN clue >= prior AND clue > 0 THEN 'context_clue' WHEN prior > 0 THEN 'profile_prior' ELSE 'combined' END WHEN raw < {J.AMBIGUOUS} THEN 'suppressed' ELSE 'gray_zone' END AS resolution FROM s),
+judged AS (SELECT doc_id, pos, term AS found, resolution, CASE WHEN NOT able THEN NULL WHEN resolution = 'collocation' THEN 1.0 WHEN veto THEN 0.0 ELSE raw END AS score, CASE WHEN NOT able THEN 'not_eligible' WHEN resolution IN ('suppressed', 'gray_zone') THEN resolution ELSE 'resolved' END AS outcome, CASE WHEN resolution = 'suppressed' THEN 'info' ELSE severity END AS severity,
+  CASE WHEN NOT able THEN 'deterministic' WHEN resolution IN ('suppressed', 'gray_zone') THEN 'unresolved' ELSE 'heuristic' END AS tier,
+  CASE WHEN len(sugg) = 2 AND resolution NOT IN ('suppressed', 'gray_zone') AND sugg[2] = CASE WHEN resolution = 'collocation' THEN coll WHEN prior > clue AND list_contains(sugg, liked) THEN liked ELSE sugg[1] END THEN sugg[2] || '/' || sugg[1] ELSE array_to_string(sugg, '/') END AS suggestions FROM v)"""
+
+
+@_query(f"WITH {_JUDGED} SELECT * FROM judged")
 def judged_issues(spark, sf_dir):
     out = J.disambiguated(_docs(spark, sf_dir), L.scanner(seed.features(spark), words=set(WORDS)), "strict")
     return out.withColumn("suggestions", F.array_join("suggestions", "/"))
 
 
-@_unchecked
+@_query(f"WITH {_JUDGED}, n AS (SELECT count(*) FILTER (tier = 'deterministic') AS deterministic, count(*) FILTER (tier = 'heuristic') AS heuristic, 0 AS llm_judged, count(*) FILTER (tier = 'unresolved') AS unresolved FROM judged) SELECT *, deterministic + heuristic AS high, llm_judged AS medium, unresolved AS low FROM n")
 def tier_counts(spark, sf_dir):
     return J.tiers(J.disambiguated(_docs(spark, sf_dir), L.scanner(seed.features(spark), words=set(WORDS)), "strict"))
 
