@@ -120,7 +120,11 @@ def clue_places(spark, sf_dir):
     return L.clue_index(_docs(spark, sf_dir), seed.rules(spark))
 
 
-@_unchecked
+# Groups as text: clues and targets by commas, groups by semicolons.
+_GROUPED = ", ".join(f"({_q(r[2])}, {seed._list(r[3])}, {_q(';'.join(','.join(a) + '>' + ','.join(b) for a, b in r[13]))})" for r in seed.FEATURES)
+
+
+@_query(f"WITH r(term, target, grouped) AS (VALUES {_GROUPED}) SELECT term, 'replaced by itself' AS problem FROM r WHERE list_contains(target, term) UNION ALL SELECT term, 'malformed group' FROM r WHERE regexp_matches(grouped, '(^|;)>|>(;|$)|,,')")
 def rule_problems(spark, sf_dir):
     return L.problems(seed.features(spark)).withColumnRenamed("from", "term")
 
@@ -233,7 +237,15 @@ def memory_and_glossary(spark, sf_dir):
     return D.with_memory(_issues(spark, sf_dir), memory, banned).select("doc_id", "pos", "severity")
 
 
-@_unchecked
+_NEW = f"""{_HITS}, e AS (SELECT doc_id, pos, size, suggestions[1] AS new FROM issues WHERE {_ELIGIBLE}),
+w AS (SELECT doc_id, pos + coalesce(sum(length(new) - size) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, new FROM e),
+ends AS (SELECT d.doc_id, d.text, e.pos, e.size, e.new, coalesce(lag(e.pos + e.size) OVER (PARTITION BY d.doc_id ORDER BY e.pos), 0) AS begin_at FROM d LEFT JOIN e ON d.doc_id = e.doc_id),
+fixed AS (SELECT doc_id, coalesce(string_agg(substr(text, begin_at + 1, pos - begin_at) || new, '' ORDER BY pos), '') || substr(any_value(text), coalesce(max(pos + size), 0) + 1) AS text FROM ends GROUP BY doc_id),
+old AS (SELECT i.doc_id, i.found, i.pos AS old_pos, i.pos + coalesce((SELECT sum(length(e.new) - e.size) FROM e WHERE e.doc_id = i.doc_id AND e.pos < i.pos), 0) AS moved FROM issues i),
+again AS (SELECT * FROM (WITH d AS (SELECT doc_id, text FROM fixed), {hits_sql(seed.SQL)}, {_ISSUES} SELECT doc_id, pos, size, found, severity FROM issues) q)"""
+
+
+@_query(f"WITH {_NEW} SELECT n.doc_id, n.pos, n.found, n.severity, old.old_pos FROM again n LEFT JOIN old ON old.doc_id = n.doc_id AND old.found = n.found AND old.moved = n.pos WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = n.doc_id AND CASE WHEN length(w.new) = 0 THEN n.pos <= w.a AND n.pos + n.size > w.a ELSE n.pos < w.a + length(w.new) AND n.pos + n.size > w.a END)")
 def rescanned_issues(spark, sf_dir):
     return FX.rescanned(_docs(spark, sf_dir), _scanner(spark)).select("doc_id", "pos", "found", "severity", "old_pos")
 

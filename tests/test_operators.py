@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 UNCHECKED = {
-    *["foreign_scopes", "markdown_mask", "rule_problems", "table_cells", "cell_issues", "section_starts", "masked_scan", "rescanned_issues", "convert_fixpoint", "quotation_marks", "style_findings"],
+    *["foreign_scopes", "markdown_mask", "table_cells", "cell_issues", "section_starts", "masked_scan", "convert_fixpoint", "quotation_marks", "style_findings"],
     *["section_endings", "excessive_bold", "repeated_slogans", "self_questions", "uncited_attributions", "long_premodifiers", "word_tokens", "confirmed_clues"],
     *["placed_issues", "issue_chunks", "machine_scores", "style_scorecard", "quality_flags", "checked_call", "sentence_places", "whole_scan"],
 }
