@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm import words as W
-from glyphmill.llm.session import extended
+from glyphmill.llm.session import extended, relieve
 
 PASSAGE = 64
 #: Labelled documents that training takes (those of smallest id hash), and passages of each: of a longer text as many,
@@ -182,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model
         return None
     bags = [np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES).astype(np.float64) for r in got]
     every = np.concatenate(bags)
+    relieve(docs.sparkSession)
     return Model(every.mean(0), every.std(0) + 0.02).fit(bags, y)
 
 

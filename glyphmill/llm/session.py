@@ -5,12 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import math
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Gives unused memory of this Python process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library can trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``kernel``, which gives unused memory back at the end of a partition: Python workers outlive their tasks."""
 
@@ -38,10 +48,7 @@ def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from kernel(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library can trim
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return run
 
@@ -58,9 +65,52 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Share of its bound beyond which the driver's heap is collected between steps.
+HEAP_SHARE = 0.4
+#: Seconds from one relief of the driver to the next, at least.
+RELIEF_S = 2
+_relieved = -math.inf
+
+
+def relieve(spark: SparkSession) -> None:
+    """Has the driver give back memory that it holds but doesn't use.
+
+    Plans and jobs of many small steps leave garbage.  Java lets its heap grow for it rather than collect it, and keeps
+    what its compiler had, so that a driver's memory grows with the number of steps and not with the data.
+    """
+    global _relieved
+    if time.monotonic() - _relieved < RELIEF_S:
+        return
+    trim()
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        jvm.System.gc()
+    _trim_java(spark)
+    _relieved = time.monotonic()
+
+
+def _trim_java(spark: SparkSession) -> bool:
+    """What ``jcmd System.trim_native_heap`` does to the driver's Java; False where there is no such command (before 17.0.9, or not Linux)."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    try:
+        kinds = array(jvm.java.lang.Class, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = of(name)
+        given = array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's own class isn't open to callers, its interface is.
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that a lost executor costs nothing."""
     shared_folder(df.sparkSession)
+    relieve(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -75,6 +125,7 @@ class Scratch:
         self.path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
+        relieve(self.spark)
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
